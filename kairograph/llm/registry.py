@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, simhash_dedup
+from . import bin_packing, lang_id, secret_scan, simhash_dedup, warc
 from ._shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,25 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read_table(spark, sf_dir, "pages"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_lang_id": op2_lang_id,
         "op3_simhash_dedup": op3_simhash_dedup,
+        "op4_secret_scan": op4_secret_scan,
+        "op6_warc": op6_warc,
+        "op8_packing": op8_packing,
     }
 
 
