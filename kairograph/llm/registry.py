@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_packing, lang_id, secret_scan, simhash_dedup, warc
+from . import bin_packing, cover_tree, lang_id, secret_scan, simhash_dedup, warc
 from ._shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_lang_id": op2_lang_id,
@@ -39,6 +43,7 @@ def queries() -> dict[str, Query]:
         "op4_secret_scan": op4_secret_scan,
         "op6_warc": op6_warc,
         "op8_packing": op8_packing,
+        "op9_cover_tree": op9_cover_tree,
     }
 
 
