@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_packing, cover_tree, lang_id, secret_scan, simhash_dedup, warc
+from . import bin_packing, cover_tree, lang_id, lm_score, pii, secret_scan, simhash_dedup, warc
 from ._shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
 def op2_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(read_table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(read_table(spark, sf_dir, "documents")))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read_table(spark, sf_dir, "pages"))
 
@@ -38,9 +46,11 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii": op1_pii,
         "op2_lang_id": op2_lang_id,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_secret_scan": op4_secret_scan,
+        "op5_lm_score": op5_lm_score,
         "op6_warc": op6_warc,
         "op8_packing": op8_packing,
         "op9_cover_tree": op9_cover_tree,
