@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bin_packing, cover_tree, lang_id, lm_score, pii, secret_scan, simhash_dedup, warc
+from . import bin_packing, cover_tree, decontaminate, lang_id, line_dedup, lm_score, pii, secret_scan, simhash_dedup, warc
 from ._shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read_table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.remove_repeated(read_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return cut.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), gone.alias("removed_bytes"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +51,10 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -52,8 +63,10 @@ def queries() -> dict[str, Query]:
         "op4_secret_scan": op4_secret_scan,
         "op5_lm_score": op5_lm_score,
         "op6_warc": op6_warc,
+        "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
         "op9_cover_tree": op9_cover_tree,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
