@@ -8,7 +8,7 @@ hash occurs more than once are compared, byte by byte, with the first
 occurrence in the corpus; equal ones go, with the words beside them as far as
 these equal the words beside the first occurrence as well.
 
-Texts move once, in the last join. Which chunks may repeat reaches the texts
+Texts move only in the last join, if at all. Which chunks may repeat reaches the texts
 as a bit table of bounded size: bits that collide only add candidates.
 """
 
@@ -32,6 +32,8 @@ LEAST, MOST = 2, 32  # lines in a chunk
 LEAST_BYTES = 40
 #: Bytes beside a chunk that are compared too.
 BESIDE = 192
+#: Texts with spans to remove (some 60 bytes each) up to which these are broadcast; beyond that all texts are shuffled once.
+BROADCAST_ROWS = 300_000
 _MOST_BITS = 1 << 29  # of the table of repeated hashes: 64 MB
 
 _LINE_END = re.compile(rb"\n+|[.!?]+[\x20\n]+")
@@ -169,7 +171,8 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     ``removed`` are replaced.
     """
     names = [c for c in docs.columns if c != "removed"]
-    own = docs.select(F.struct(*names).alias("row"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
+    others = [c for c in names if c != text]
+    own = docs.select(F.struct(*others).alias("row") if others else F.lit(None).alias("row"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
     data = F.coalesce("text", F.lit("")).cast("binary")
 
     def mark(bodies: pd.Series) -> pd.Series:
@@ -188,12 +191,15 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     spans = same.select("rid", "start", "size", "before", "after", "r_before", "r_after").mapInPandas(_spans, "rid long, start long, end long")
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
 
+    spans = staged(spans, "line_spans")
+    small = spans.count() <= BROADCAST_ROWS
+
     def remove(bodies: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        both = [cut(x, s) for x, s in zip(bodies, spans, strict=True)]
-        return pd.DataFrame({"text": [x.decode(errors="ignore") for x, _ in both], "removed": [[list(s) for s in m] for _, m in both]})
-
-    joined = marked.drop("chunks").join(spans.hint("shuffle_hash"), "rid", "left")
-    hit = joined.where("spans is not null").withColumn("new", F.pandas_udf(remove, "text string, removed array<array<long>>")(data, F.col("spans")))
-    rest = joined.where("spans is null").withColumn("new", F.struct(F.col("text").alias("text"), F.expr("cast(array() as array<array<long>>)").alias("removed")))
-    columns = [F.col("new.text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names]
-    return hit.select(*columns, "new.removed").unionByName(rest.select(*columns, "new.removed"))
+        both = [("", []) if s is None else cut(x, s) for x, s in zip(bodies, spans, strict=True)]
+        return pd.DataFrame({"text": [x.decode(errors="ignore") if m else None for x, m in both], "removed": [[list(s) for s in m] for _, m in both]})
+
+    joined = marked.drop("chunks").join(F.broadcast(spans) if small else spans.hint("shuffle_hash"), "rid", "left")
+    some = F.when(F.col("spans").isNotNull(), data)  # other texts don't go to Python
+    joined = joined.withColumn("new", F.pandas_udf(remove, "text string, removed array<array<long>>")(some, F.col("spans")))
+    body = F.when(F.size("new.removed") > 0, F.col("new.text")).otherwise(F.col("text"))
+    return joined.select(*[body.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names], "new.removed")
