@@ -116,26 +116,35 @@ def _bits(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Rows of the chunks whose bit is set, with their bytes and those beside them."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def _place(rid, start):
+    """A number for a place in a row's text: the same for columns and for Python's integers."""
+    return rid % 2147483647 * 1000003 + start
+
+
+def _set(bits: np.ndarray, number: int) -> bool:
+    slot = number % (len(bits) * 8)
+    return bool(bits[slot >> 3] >> (7 - (slot & 7)) & 1)
+
+
+def _occurrences(docs: DataFrame, bits: np.ndarray, first_bits: np.ndarray) -> DataFrame:
+    """Rows of the chunks whose bit is set, with their bytes and those beside them; ``may_lead``: perhaps a first occurrence."""
+    shared = docs.sparkSession.sparkContext.broadcast((bits, first_bits))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
-        size = len(bits) * 8
+        bits, first_bits = shared.value
         for batch in batches:
             out = []
             for rid, data, marks in zip(batch["rid"], batch["data"], batch["chunks"], strict=True):
                 for c in marks:
-                    slot = c["h"] % size
-                    if bits[slot >> 3] >> (7 - (slot & 7)) & 1:
+                    if _set(bits, c["h"]):
                         a, b = c["start"], c["end"]
-                        out.append((c["h"], b - a, rid, a, data[a:b], data[max(0, a - BESIDE) : a], data[b : b + BESIDE]))
+                        lead = _set(first_bits, _place(rid, a))
+                        out.append((c["h"], b - a, rid, a, lead, data[a:b], data[max(0, a - BESIDE) : a], data[b : b + BESIDE]))
             if out:
-                yield pd.DataFrame(out, columns=["h", "size", "rid", "start", "body", "before", "after"])
+                yield pd.DataFrame(out, columns=["h", "size", "rid", "start", "may_lead", "body", "before", "after"])
 
     text = F.coalesce("text", F.lit("")).cast("binary").alias("data")
-    return docs.where(F.size("chunks") > 0).select("rid", text, "chunks").mapInPandas(find, "h long, size int, rid long, start int, body binary, before binary, after binary")
+    return docs.where(F.size("chunks") > 0).select("rid", text, "chunks").mapInPandas(find, "h long, size int, rid long, start int, may_lead boolean, body binary, before binary, after binary")
 
 
 def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,14 +189,16 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     marked = own.withColumn("chunks", F.pandas_udf(mark, _CHUNKS)(data)).withColumn("rid", F.monotonically_increasing_id())
     marked = staged(marked, "line_chunks")
-    order = F.struct(F.col("key").isNull().alias("none"), F.col("key").cast("decimal(38,0)" if dict(docs.dtypes)[key] != "string" else "string").alias("key"), "rid", "start")
+    order = F.struct(F.col("key").isNull().alias("none"), F.col("key").cast("string" if dict(docs.dtypes)[key] == "string" else "long").alias("key"), "rid", "start")
     all_chunks = marked.select("key", "rid", F.inline("chunks")).withColumn("size", F.col("end") - F.col("start"))
     repeated = all_chunks.groupBy("h", "size").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
     repeated = staged(repeated.select("h", "size", F.col("first.rid").alias("r_rid"), F.col("first.start").alias("r_start")), "line_repeated")
-    there = staged(_occurrences(marked, _bits(repeated)), "line_occurrences").join(repeated, ["h", "size"])
-    is_first = (F.col("rid") == F.col("r_rid")) & (F.col("start") == F.col("r_start"))
-    firsts = there.where(is_first).select("h", "size", *[F.col(c).alias(f"r_{c}") for c in ("body", "before", "after")])
-    same = there.where(~is_first).drop("r_rid", "r_start").join(firsts, ["h", "size"]).where(F.col("body") == F.col("r_body"))
+    lead_bits = _bits(repeated.select(_place(F.col("r_rid"), F.col("r_start")).alias("h")))
+    there = staged(_occurrences(marked, _bits(repeated), lead_bits), "line_occurrences")
+    leads = there.where("may_lead").select("h", "size", F.col("rid").alias("r_rid"), F.col("start").alias("r_start"), *[F.col(c).alias(f"r_{c}") for c in ("body", "before", "after")])
+    leads = leads.join(repeated, ["h", "size", "r_rid", "r_start"])
+    other = (F.col("rid") != F.col("r_rid")) | (F.col("start") != F.col("r_start"))
+    same = there.drop("may_lead").join(leads, ["h", "size"]).where(other & (F.col("body") == F.col("r_body")))
     spans = same.select("rid", "start", "size", "before", "after", "r_before", "r_after").mapInPandas(_spans, "rid long, start long, end long")
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
 
