@@ -33,6 +33,8 @@ SIMILARITY = 0.8
 REPEATS = 6
 #: Steps of the walk whose output is sampled.
 SAMPLE = (0, 2, 4, 6)
+#: Items of fewer words are proposed wherever one of their words stands.
+SHORT = 2 * SAMPLE[-1]
 #: Items whose tables are broadcast at once; more items are gone through in blocks.
 ITEM_BLOCK = 20_000
 #: Words of documents that are embedded at once.
@@ -89,13 +91,16 @@ def index_items(rows: list[tuple[int | None, str | None]]) -> Items:
     for r in range(REPEATS):
         starts, key, far = sampled(flat, np.arange(len(flat) - _GAP), bits[r])
         item = np.searchsorted(begin, starts, side="right") - 1
-        # a walk that hardly moved has a sample of one or two words: other tables have better ones at that place
-        short = np.array([len(w) for w in words], dtype=np.int64)[item] < 6 if words else np.zeros(0, dtype=bool)
-        use = (far >= 2) | short
+        use = far >= 2  # a walk that hardly moved has a sample of one or two words: other tables have better ones at that place
         order = np.argsort(key[use], kind="stable")
         keys.append(key[use][order])
         owner.append(item[use][order])
         offset.append((starts - begin[item])[use][order] if words else starts)
+    # items that a walk may leave have a table of their own, by single words
+    few = [(w, i, at) for i, x in enumerate(words) if len(x) < SHORT for at, w in enumerate(x.tolist())]
+    few.sort()
+    for out, column in zip((keys, owner, offset), zip(*few, strict=True) if few else ((), (), ()), strict=True):
+        out.append(np.array(column, dtype=np.uint64 if out is keys else np.int64))
     member = np.zeros((len(words), len(number) + 1), dtype=bool)
     for i, w in enumerate(words):
         member[i, w] = True
@@ -153,8 +158,10 @@ def _proposals(items: Items, ids: np.ndarray, lengths: np.ndarray, edits: np.nda
     """Distinct ``(window start, item)`` whose window of the item's size, and its allowance on both sides, has enough words of the item."""
     found = []
     starts = np.flatnonzero(ids > 0)
-    for r in range(REPEATS):
-        at, key, _ = sampled(ids, starts, items.bits[r])
+    for r in range(REPEATS + 1):
+        at, key = sampled(ids, starts, items.bits[r])[:2] if r < REPEATS else (starts, ids[starts].astype(np.uint64))
+        if not len(items.keys[r]):
+            continue
         low = np.searchsorted(items.keys[r], key, side="left")
         hit = low < len(items.keys[r])
         hit[hit] = items.keys[r][low[hit]] == key[hit]
@@ -162,6 +169,8 @@ def _proposals(items: Items, ids: np.ndarray, lengths: np.ndarray, edits: np.nda
         n = np.searchsorted(items.keys[r], key[hit], side="right") - low
         place = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         found.append(np.stack([np.repeat(at, n) - items.offset[r][place], items.owner[r][place]], axis=1))
+    if not found:
+        return np.zeros((0, 2), dtype=np.int64)
     pairs = np.unique(np.concatenate(found), axis=0)
     keep = []
     for part in np.array_split(pairs, max(1, len(pairs) // 20_000)):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._shared import staged
 
 WINDOW = 2  # lines in the rolling hash
-DIVISOR = 3  # a boundary every so many lines, on average, after the least number
+DIVISOR = 2  # a boundary every so many lines, on average, after the least number: passages of 50 words have few lines
 LEAST, MOST = 2, 32  # lines in a chunk
 #: Chunks shorter than this many bytes are no passage.
 LEAST_BYTES = 40
