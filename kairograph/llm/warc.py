@@ -239,7 +239,8 @@ def read_archives(index: DataFrame) -> DataFrame:
                         yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     bundles = index.select("bundle").distinct()
-    return bundles.mapInPandas(read, RECORDS)
+    # a task per bundle: by their few bytes, adaptive execution would put the names of very many bundles into one
+    return bundles.repartition(max(1, bundles.count())).mapInPandas(read, RECORDS)
 
 
 def archive(pages: DataFrame) -> DataFrame:
