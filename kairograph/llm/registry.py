@@ -70,5 +70,21 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: The archives' records follow from the pages alone; the round trip through bundles must not change them.
+_WARC_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+t AS (SELECT page_id, payload, CASE WHEN octet_length(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) ELSE page_id END AS target FROM p)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+CASE WHEN target IS NULL OR page_id IS NOT DISTINCT FROM target THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id IS DISTINCT FROM target THEN target END AS refers_to FROM t"""
+
+_LINKS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT a AS node, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY 1), d AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON node = vec_id LEFT JOIN d ON a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": _WARC_SQL, "op9_cover_tree": _LINKS_SQL}
