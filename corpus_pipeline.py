@@ -58,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: SQL can't express hashed n-grams, rolling hashes or a tokenizer; tests compare each stage with brute force.
+#: SQL can't express hashed n-grams, rolling hashes or a tokenizer; tests hold each stage against a plain version or planted passages.
 ORACLE_SQL = None
 
 
