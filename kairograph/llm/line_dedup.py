@@ -1,12 +1,15 @@
 """Removal of line chunks that repeat anywhere in the corpus.
 
 A line ends at a newline or after a sentence's end, so that passages inside a
-paragraph are seen too. A rolling hash over the hashes of neighbouring lines
-chooses where chunks end; a boundary depends on the lines beside it only, and
-so a passage is cut alike wherever it stands. Chunks of several lines whose
-hash occurs more than once are compared, byte by byte, with the first
-occurrence in the corpus; equal ones go, with the words beside them as far as
-these equal the words beside the first occurrence as well.
+paragraph are seen too; longer ones are split after words chosen by a hash. A
+rolling hash over the hashes of neighbouring lines chooses the boundaries. A
+boundary depends on the lines beside it only, and so a passage is cut alike
+wherever it stands. A chunk begins at each boundary and goes on to the first
+that makes it several lines: chunks overlap, since a passage of fifty words
+has few lines and must hold a whole one. Chunks whose hash occurs more than
+once are compared, byte by byte, with the first occurrence in the corpus;
+equal ones go, with the words beside them as far as these equal the words
+beside the first occurrence as well.
 
 Texts move only in the last join, if at all. Which chunks may repeat reaches the texts
 as a bit table of bounded size: bits that collide only add candidates.
@@ -15,7 +18,7 @@ as a bit table of bounded size: bits that collide only add candidates.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,46 +28,72 @@ from pyspark.sql import functions as F
 
 from ._shared import staged
 
-WINDOW = 2  # lines in the rolling hash
-DIVISOR = 2  # a boundary every so many lines, on average, after the least number: passages of 50 words have few lines
-LEAST, MOST = 2, 32  # lines in a chunk
-#: Chunks shorter than this many bytes are no passage.
-LEAST_BYTES = 40
+#: Every line's end is a boundary but for one of so many, by the rolling hash.
+SPARE = 16
+LEAST, MOST = 2, 32  # lines in a chunk, and between boundaries
+#: Chunks have this many bytes at least: fewer are no passage.
+LEAST_BYTES = 64
+#: Lines of more bytes are split after one word of so many, chosen by a hash of the 8 bytes before its end.
+LONG, WORDS = 100, 8
 #: Bytes beside a chunk that are compared too.
-BESIDE = 192
+BESIDE = 128
 #: Texts with spans to remove (some 60 bytes each) up to which these are broadcast; beyond that all texts are shuffled once.
 BROADCAST_ROWS = 300_000
 _MOST_BITS = 1 << 29  # of the table of repeated hashes: 64 MB
+_SHIFT = 29  # bits between the parts of a hash that give its two slots
 
 _LINE_END = re.compile(rb"\n+|[.!?]+[\x20\n]+")
 _WORD_END = re.compile(rb"[\x09-\x0d\x20]")
-_CHUNKS = "array<struct<h: long, start: int, end: int>>"
-
-
-def chunks(data: bytes) -> list[tuple[int, int, int]]:
-    """``(hash, start, end)`` in bytes of each chunk; lines of blanks count to the line before."""
-    out, at, first, lines, before = [], 0, 0, 0, 0
-    ends = [m.end() for m in _LINE_END.finditer(data)]
-    if not ends or ends[-1] < len(data):
-        ends.append(len(data))
-    mask = (1 << 64) - 1
-    for end in ends:
+_CHUNKS = "hashes array<long>, starts array<int>, sizes array<int>"
+
+
+def line_ends(data: bytes) -> list[int]:
+    ends = np.array([0, *(m.end() for m in _LINE_END.finditer(data)), len(data)])
+    long = np.diff(ends, append=len(data)) > LONG  # by the end before
+    if long.any() and ends[1] < len(data):  # a text of one line stays one
+        d = np.frombuffer(data, dtype=np.uint8).astype(np.uint32)
+        at = np.flatnonzero(d[8:] == 0x20) + 8
+        h = np.zeros(len(at), dtype=np.uint32)
+        for k in range(8, 0, -1):
+            h = (h ^ d[at - k]) * np.uint32(2654435761)
+        at = at[(h >> 24) % WORDS == 0] + 1
+        ends = np.concatenate([ends, at[long[np.searchsorted(ends, at, side="right") - 1]]])
+    return np.unique(ends)[1:].tolist()
+
+
+def boundaries(data: bytes) -> tuple[list[int], list[int]]:
+    """Places where chunks may begin and end, and how many lines stand before each; lines of blanks count to the line before."""
+    places, before, at, lines, last = [0], [0], 0, 0, 0
+    for end in line_ends(data):
         line = data[at:end].strip()
         at = end
         if not line:
+            if lines and places[-1] and before[-1] == lines:
+                places[-1] = end
             continue
         h = xxhash.xxh64_intdigest(line, 1)
         lines += 1
-        rolling = (h * 0x9E3779B97F4A7C15 + before * 0xC2B2AE3D27D4EB4F & mask) >> 33
-        before = h
-        if lines >= LEAST and (rolling % DIVISOR == 0 or lines >= MOST):
-            out.append((first, at))
-            first, lines = at, 0
-    if lines >= LEAST:
-        out.append((first, at))
-    # what is left at the end with too few lines is part of no chunk
-    found = []
-    for a, b in out:
+        rolling = (h * 0x9E3779B97F4A7C15 + last * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF) >> 33
+        last = h
+        if rolling % SPARE or lines - before[-1] >= MOST:
+            places.append(end)
+            before.append(lines)
+    if before[-1] < lines:
+        places.append(len(data))
+        before.append(lines)
+    return places, before
+
+
+def chunks(data: bytes) -> list[tuple[int, int, int]]:
+    """``(hash, start, end)`` in bytes of each chunk, by start; blanks at both ends are left out."""
+    places, before = boundaries(data)
+    found, to, n = [], 0, len(places)
+    for i in range(n):
+        while to < n and (before[to] - before[i] < LEAST or places[to] - places[i] < LEAST_BYTES):
+            to += 1
+        if to == n:
+            break
+        a, b = places[i], places[to]
         body = data[a:b].strip()
         if len(body) >= LEAST_BYTES:
             a += data[a:b].index(body[:1])
@@ -72,12 +101,18 @@ def chunks(data: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
+def _most(n: int, holds: Callable[[int], bool]) -> int:
+    """The largest number up to ``n`` for which ``holds`` is true; it is for zero and all before that number."""
+    low = 0
+    while low < n:
+        middle = (low + n + 1) // 2
+        low, n = (middle, n) if holds(middle) else (low, middle - 1)
+    return low
+
+
 def _common_left(x: bytes, y: bytes) -> int:
     """Length of the longest common end that begins at a word of both."""
-    n = min(len(x), len(y))
-    k = 0
-    while k < n and x[-1 - k] == y[-1 - k]:
-        k += 1
+    k = _most(min(len(x), len(y)), lambda k: x[len(x) - k :] == y[len(y) - k :])
     if k == len(x) == len(y):
         return k
     m = _WORD_END.search(x, len(x) - k)
@@ -86,10 +121,7 @@ def _common_left(x: bytes, y: bytes) -> int:
 
 def _common_right(x: bytes, y: bytes) -> int:
     """Length of the longest common start that ends at a word of both."""
-    n = min(len(x), len(y))
-    k = 0
-    while k < n and x[k] == y[k]:
-        k += 1
+    k = _most(min(len(x), len(y)), lambda k: x[:k] == y[:k])
     if k == len(x) == len(y):
         return k
     while k and not _WORD_END.match(x[k - 1 : k]):
@@ -97,8 +129,8 @@ def _common_right(x: bytes, y: bytes) -> int:
     return k
 
 
-def _bits(hashes: DataFrame) -> np.ndarray:
-    """Bit table of the hashes, of 16 bits for each and 64 MB at most."""
+def _bits(hashes: DataFrame, probes: int = 2) -> np.ndarray:
+    """Bit table of the numbers ``h``, of 16 bits for each and 64 MB at most."""
     size = 1 << 20
     while size < min(_MOST_BITS, 16 * hashes.count()):
         size <<= 1
@@ -109,7 +141,8 @@ def _bits(hashes: DataFrame) -> np.ndarray:
         bits[part["slot"].to_numpy() % block] = 1
         return pd.DataFrame({"b": [part["b"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
 
-    slots = hashes.select(F.pmod("h", F.lit(size)).alias("slot")).distinct().withColumn("b", F.floor(F.col("slot") / block))
+    slots = F.explode(F.array(*[F.pmod(F.shiftright("h", _SHIFT * k), F.lit(size)) for k in range(probes)])).alias("slot")
+    slots = hashes.select(slots).distinct().withColumn("b", F.floor(F.col("slot") / block))
     out = np.zeros(size // 8, dtype=np.uint8)
     for r in slots.groupBy("b").applyInPandas(table, "b long, bits binary").toLocalIterator():  # 256 rows at most
         out[r["b"] * block // 8 : (r["b"] + 1) * block // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
@@ -121,9 +154,38 @@ def _place(rid, start):
     return rid % 2147483647 * 1000003 + start
 
 
-def _set(bits: np.ndarray, number: int) -> bool:
-    slot = number % (len(bits) * 8)
-    return bool(bits[slot >> 3] >> (7 - (slot & 7)) & 1)
+def _set(bits: np.ndarray, numbers: np.ndarray, probes: int = 2) -> np.ndarray:
+    found = np.ones(len(numbers), dtype=bool)
+    for k in range(probes):
+        slots = (numbers >> _SHIFT * k) % (len(bits) * 8)
+        found &= bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1 > 0
+    return found
+
+
+def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``h, size, key, rid, start`` of the chunks whose bit is set."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = batch["hashes"].map(len).to_numpy()
+            h, at, size = (np.concatenate([*batch[c], np.zeros(0, dtype=np.int64)]).astype(np.int64) for c in ("hashes", "starts", "sizes"))
+            use = np.flatnonzero(_set(shared.value, h))
+            row = np.repeat(np.arange(len(batch)), n)[use]
+            yield pd.DataFrame({"h": h[use], "size": size[use], "key": batch["key"].to_numpy()[row], "rid": batch["rid"].to_numpy()[row], "start": at[use]})
+
+    return docs.where(F.size("hashes") > 0).select("key", "rid", "hashes", "starts", "sizes").mapInPandas(pick, "h long, size int, key string, rid long, start int")
+
+
+def _needed(starts: list[int], ends: list[int], lead: list[bool]) -> Iterator[tuple[int, bool, bool]]:
+    """Numbers of the chunks without those that the chunks before and after them cover, and whether each begins and ends
+    a run of such chunks, so that the words beside it matter. First occurrences stay, with both sides."""
+    covered, n = -2, len(starts)
+    for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        following = starts[i + 1] if i + 1 < n else 1 << 62
+        if lead[i] or a > covered or following > covered + 1:
+            yield i, lead[i] or a > covered + 1, lead[i] or following > b + 1
+            covered = max(covered, b)
 
 
 def _occurrences(docs: DataFrame, bits: np.ndarray, first_bits: np.ndarray) -> DataFrame:
@@ -134,17 +196,21 @@ def _occurrences(docs: DataFrame, bits: np.ndarray, first_bits: np.ndarray) -> D
         bits, first_bits = shared.value
         for batch in batches:
             out = []
-            for rid, data, marks in zip(batch["rid"], batch["data"], batch["chunks"], strict=True):
-                for c in marks:
-                    if _set(bits, c["h"]):
-                        a, b = c["start"], c["end"]
-                        lead = _set(first_bits, _place(rid, a))
-                        out.append((c["h"], b - a, rid, a, lead, data[a:b], data[max(0, a - BESIDE) : a], data[b : b + BESIDE]))
+            for rid, data, h, at, size in zip(batch["rid"], batch["data"], batch["hashes"], batch["starts"], batch["sizes"], strict=True):
+                use = np.flatnonzero(_set(bits, h))
+                if not len(use):
+                    continue
+                lead = _set(first_bits, _place(rid, at[use].astype(np.int64)), 1).tolist()
+                h, starts, ends = h[use].tolist(), at[use].tolist(), (at + size)[use].tolist()
+                for i, left, right in _needed(starts, ends, lead):
+                    a, b = starts[i], ends[i]
+                    before, after = data[max(0, a - BESIDE) : a] if left else b"", data[b : b + BESIDE] if right else b""
+                    out.append((h[i], b - a, rid, a, lead[i], data[a:b], before, after))
             if out:
                 yield pd.DataFrame(out, columns=["h", "size", "rid", "start", "may_lead", "body", "before", "after"])
 
     text = F.coalesce("text", F.lit("")).cast("binary").alias("data")
-    return docs.where(F.size("chunks") > 0).select("rid", text, "chunks").mapInPandas(find, "h long, size int, rid long, start int, may_lead boolean, body binary, before binary, after binary")
+    return docs.where(F.size("hashes") > 0).select("rid", text, "hashes", "starts", "sizes").mapInPandas(find, "h long, size int, rid long, start int, may_lead boolean, body binary, before binary, after binary")
 
 
 def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,16 +250,17 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     own = docs.select(F.struct(*others).alias("row") if others else F.lit(None).alias("row"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
     data = F.coalesce("text", F.lit("")).cast("binary")
 
-    def mark(bodies: pd.Series) -> pd.Series:
-        return pd.Series([[{"h": h, "start": a, "end": b} for h, a, b in chunks(x)] for x in bodies])
+    def mark(bodies: pd.Series) -> pd.DataFrame:
+        found = [list(zip(*((h, a, b - a) for h, a, b in chunks(x)), strict=True)) or [(), (), ()] for x in bodies]
+        return pd.DataFrame(found, columns=["hashes", "starts", "sizes"])
 
-    marked = own.withColumn("chunks", F.pandas_udf(mark, _CHUNKS)(data)).withColumn("rid", F.monotonically_increasing_id())
+    marked = own.withColumn("chunks", F.pandas_udf(mark, _CHUNKS)(data)).select("*", "chunks.*").drop("chunks").withColumn("rid", F.monotonically_increasing_id())
     marked = staged(marked, "line_chunks")
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key").cast("string" if dict(docs.dtypes)[key] == "string" else "long").alias("key"), "rid", "start")
-    all_chunks = marked.select("key", "rid", F.inline("chunks")).withColumn("size", F.col("end") - F.col("start"))
-    repeated = all_chunks.groupBy("h", "size").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
+    seen = marked.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = _candidates(marked, _bits(staged(seen.select("h"), "line_hashes"))).groupBy("h", "size").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
     repeated = staged(repeated.select("h", "size", F.col("first.rid").alias("r_rid"), F.col("first.start").alias("r_start")), "line_repeated")
-    lead_bits = _bits(repeated.select(_place(F.col("r_rid"), F.col("r_start")).alias("h")))
+    lead_bits = _bits(repeated.select(_place(F.col("r_rid"), F.col("r_start")).alias("h")), 1)
     there = staged(_occurrences(marked, _bits(repeated), lead_bits), "line_occurrences")
     leads = there.where("may_lead").select("h", "size", F.col("rid").alias("r_rid"), F.col("start").alias("r_start"), *[F.col(c).alias(f"r_{c}") for c in ("body", "before", "after")])
     leads = leads.join(repeated, ["h", "size", "r_rid", "r_start"])
@@ -209,7 +276,7 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         both = [("", []) if s is None else cut(x, s) for x, s in zip(bodies, spans, strict=True)]
         return pd.DataFrame({"text": [x.decode(errors="ignore") if m else None for x, m in both], "removed": [[list(s) for s in m] for _, m in both]})
 
-    joined = marked.drop("chunks").join(F.broadcast(spans) if small else spans.hint("shuffle_hash"), "rid", "left")
+    joined = marked.drop("hashes", "starts", "sizes").join(F.broadcast(spans) if small else spans.hint("shuffle_hash"), "rid", "left")
     some = F.when(F.col("spans").isNotNull(), data)  # other texts don't go to Python
     joined = joined.withColumn("new", F.pandas_udf(remove, "text string, removed array<array<long>>")(some, F.col("spans")))
     body = F.when(F.size("new.removed") > 0, F.col("new.text")).otherwise(F.col("text"))
