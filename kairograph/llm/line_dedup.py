@@ -32,7 +32,7 @@ from ._shared import staged
 SPARE = 16
 LEAST, MOST = 2, 32  # lines in a chunk, and between boundaries
 #: Chunks have this many bytes at least: fewer are no passage.
-LEAST_BYTES = 64
+LEAST_BYTES = 96
 #: Lines of more bytes are split after one word of so many, chosen by a hash of the 8 bytes before its end.
 LONG, WORDS = 100, 8
 #: Bytes beside a chunk that are compared too.
@@ -44,6 +44,7 @@ _SHIFT = 29  # bits between the parts of a hash that give its two slots
 
 _LINE_END = re.compile(rb"\n+|[.!?]+[\x20\n]+")
 _WORD_END = re.compile(rb"[\x09-\x0d\x20]")
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CHUNKS = "hashes array<long>, starts array<int>, sizes array<int>"
 
 
@@ -61,44 +62,47 @@ def line_ends(data: bytes) -> list[int]:
     return np.unique(ends)[1:].tolist()
 
 
-def boundaries(data: bytes) -> tuple[list[int], list[int]]:
-    """Places where chunks may begin and end, and how many lines stand before each; lines of blanks count to the line before."""
-    places, before, at, lines, last = [0], [0], 0, 0, 0
+def lines(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each line but lines of blanks, without the blanks around it."""
+    hashes, starts, ends, at = [], [], [], 0
+    digest = xxhash.xxh64_intdigest
     for end in line_ends(data):
-        line = data[at:end].strip()
+        line = data[at:end]
+        body = line.strip()
+        if body:
+            start = at if line[0] > 0x20 else at + len(line) - len(line.lstrip())
+            hashes.append(digest(body, 1))
+            starts.append(start)
+            ends.append(start + len(body))
         at = end
-        if not line:
-            if lines and places[-1] and before[-1] == lines:
-                places[-1] = end
-            continue
-        h = xxhash.xxh64_intdigest(line, 1)
-        lines += 1
-        rolling = (h * 0x9E3779B97F4A7C15 + last * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF) >> 33
-        last = h
-        if rolling % SPARE or lines - before[-1] >= MOST:
-            places.append(end)
-            before.append(lines)
-    if before[-1] < lines:
-        places.append(len(data))
-        before.append(lines)
-    return places, before
+    return np.array(hashes, dtype=np.uint64), np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)
+
+
+def chunk_arrays(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (by the lines' hashes), start and size in bytes of each chunk, by start."""
+    h, starts, ends = lines(data)
+    n = len(h)
+    if n < LEAST:
+        return np.zeros(0, dtype=np.int64), starts[:0], starts[:0]
+    rolling = h[1:] * _A + h[:-1] * _B >> np.uint64(33)
+    # a boundary stands before a line of that number; the text's start and end are boundaries
+    chosen = np.flatnonzero(np.concatenate([[True, True], rolling % np.uint64(SPARE) != 0]) | (np.arange(n + 1) % MOST == 0))
+    chosen = chosen if chosen[-1] == n else np.append(chosen, n)
+    first = chosen[:-1]
+    reach = np.concatenate([[0], ends])[chosen]  # bytes up to each boundary
+    to = np.maximum(np.searchsorted(chosen, first + LEAST), np.searchsorted(reach, starts[first] + LEAST_BYTES))
+    first, last = first[to < len(chosen)], chosen[to[to < len(chosen)]]
+    total, weight = np.zeros(len(first), dtype=np.uint64), last - first
+    for k in range(int(weight.max(initial=0))):
+        some = weight > k
+        total[some] = (total[some] ^ h[first[some] + k]) * _A
+    return (total ^ total >> np.uint64(29)).view(np.int64), starts[first], ends[last - 1] - starts[first]
 
 
 def chunks(data: bytes) -> list[tuple[int, int, int]]:
-    """``(hash, start, end)`` in bytes of each chunk, by start; blanks at both ends are left out."""
-    places, before = boundaries(data)
-    found, to, n = [], 0, len(places)
-    for i in range(n):
-        while to < n and (before[to] - before[i] < LEAST or places[to] - places[i] < LEAST_BYTES):
-            to += 1
-        if to == n:
-            break
-        a, b = places[i], places[to]
-        body = data[a:b].strip()
-        if len(body) >= LEAST_BYTES:
-            a += data[a:b].index(body[:1])
-            found.append((xxhash.xxh64_intdigest(body, 2) - (1 << 63), a, a + len(body)))
-    return found
+    """``(hash, start, end)`` of each chunk."""
+    h, starts, sizes = chunk_arrays(data)
+    return list(zip(h.tolist(), starts.tolist(), (starts + sizes).tolist(), strict=True))
 
 
 def _most(n: int, holds: Callable[[int], bool]) -> int:
@@ -178,14 +182,15 @@ def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def _needed(starts: list[int], ends: list[int], lead: list[bool]) -> Iterator[tuple[int, bool, bool]]:
-    """Numbers of the chunks without those that the chunks before and after them cover, and whether each begins and ends
-    a run of such chunks, so that the words beside it matter. First occurrences stay, with both sides."""
-    covered, n = -2, len(starts)
+    """Numbers of the chunks without those that the chunks before and after them cover (first occurrences stay), and
+    whether each begins and ends a run of chunks, so that the words beside it matter."""
+    covered = seen = -2  # by chunks named; by all
     for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
-        following = starts[i + 1] if i + 1 < n else 1 << 62
-        if lead[i] or a > covered or following > covered + 1:
-            yield i, lead[i] or a > covered + 1, lead[i] or following > b + 1
-            covered = max(covered, b)
+        following = starts[i + 1] if i + 1 < len(starts) else 1 << 62
+        if lead[i] or following > covered + 1:
+            yield i, a > seen + 1, following > b + 1
+            covered = b
+        seen = b
 
 
 def _occurrences(docs: DataFrame, bits: np.ndarray, first_bits: np.ndarray) -> DataFrame:
@@ -196,7 +201,7 @@ def _occurrences(docs: DataFrame, bits: np.ndarray, first_bits: np.ndarray) -> D
         bits, first_bits = shared.value
         for batch in batches:
             out = []
-            for rid, data, h, at, size in zip(batch["rid"], batch["data"], batch["hashes"], batch["starts"], batch["sizes"], strict=True):
+            for key, rid, data, h, at, size in zip(batch["key"], batch["rid"], batch["data"], batch["hashes"], batch["starts"], batch["sizes"], strict=True):
                 use = np.flatnonzero(_set(bits, h))
                 if not len(use):
                     continue
@@ -204,13 +209,13 @@ def _occurrences(docs: DataFrame, bits: np.ndarray, first_bits: np.ndarray) -> D
                 h, starts, ends = h[use].tolist(), at[use].tolist(), (at + size)[use].tolist()
                 for i, left, right in _needed(starts, ends, lead):
                     a, b = starts[i], ends[i]
-                    before, after = data[max(0, a - BESIDE) : a] if left else b"", data[b : b + BESIDE] if right else b""
-                    out.append((h[i], b - a, rid, a, lead[i], data[a:b], before, after))
+                    before, after = data[max(0, a - BESIDE) : a] if left or lead[i] else b"", data[b : b + BESIDE] if right or lead[i] else b""
+                    out.append((h[i], b - a, key, rid, a, lead[i], left, right, data[a:b], before, after))
             if out:
-                yield pd.DataFrame(out, columns=["h", "size", "rid", "start", "may_lead", "body", "before", "after"])
+                yield pd.DataFrame(out, columns=["h", "size", "key", "rid", "start", "may_lead", "left", "right", "body", "before", "after"])
 
     text = F.coalesce("text", F.lit("")).cast("binary").alias("data")
-    return docs.where(F.size("hashes") > 0).select("rid", text, "hashes", "starts", "sizes").mapInPandas(find, "h long, size int, rid long, start int, may_lead boolean, body binary, before binary, after binary")
+    return docs.where(F.size("hashes") > 0).select("key", "rid", text, "hashes", "starts", "sizes").mapInPandas(find, "h long, size int, key string, rid long, start int, may_lead boolean, left boolean, right boolean, body binary, before binary, after binary")
 
 
 def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,8 +256,7 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     data = F.coalesce("text", F.lit("")).cast("binary")
 
     def mark(bodies: pd.Series) -> pd.DataFrame:
-        found = [list(zip(*((h, a, b - a) for h, a, b in chunks(x)), strict=True)) or [(), (), ()] for x in bodies]
-        return pd.DataFrame(found, columns=["hashes", "starts", "sizes"])
+        return pd.DataFrame([chunk_arrays(x) for x in bodies], columns=["hashes", "starts", "sizes"])
 
     marked = own.withColumn("chunks", F.pandas_udf(mark, _CHUNKS)(data)).select("*", "chunks.*").drop("chunks").withColumn("rid", F.monotonically_increasing_id())
     marked = staged(marked, "line_chunks")
@@ -262,10 +266,12 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     repeated = staged(repeated.select("h", "size", F.col("first.rid").alias("r_rid"), F.col("first.start").alias("r_start")), "line_repeated")
     lead_bits = _bits(repeated.select(_place(F.col("r_rid"), F.col("r_start")).alias("h")), 1)
     there = staged(_occurrences(marked, _bits(repeated), lead_bits), "line_occurrences")
-    leads = there.where("may_lead").select("h", "size", F.col("rid").alias("r_rid"), F.col("start").alias("r_start"), *[F.col(c).alias(f"r_{c}") for c in ("body", "before", "after")])
-    leads = leads.join(repeated, ["h", "size", "r_rid", "r_start"])
+    beside = [F.col(c).alias(f"r_{c}") for c in ("rid", "start", "body", "before", "after")]
+    leads = there.where("may_lead").groupBy("h", "size").agg(F.min_by(F.struct(*beside), order).alias("lead")).select("h", "size", "lead.*")
     other = (F.col("rid") != F.col("r_rid")) | (F.col("start") != F.col("r_start"))
-    same = there.drop("may_lead").join(leads, ["h", "size"]).where(other & (F.col("body") == F.col("r_body")))
+    side = lambda name, needed: F.when(F.col(needed), F.col(name)).otherwise(F.lit(b"")).alias(name)
+    chunk = there.select("h", "size", "rid", "start", "body", side("before", "left"), side("after", "right"))
+    same = chunk.join(leads, ["h", "size"]).where(other & (F.col("body") == F.col("r_body")))
     spans = same.select("rid", "start", "size", "before", "after", "r_before", "r_after").mapInPandas(_spans, "rid long, start long, end long")
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
 
