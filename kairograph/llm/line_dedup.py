@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from ._shared import staged
 
 #: Every line's end is a boundary but for one of so many, by the rolling hash.
-SPARE = 16
+SPARE = 4
 LEAST, MOST = 2, 32  # lines in a chunk, and between boundaries
 #: Chunks have this many bytes at least: fewer are no passage.
 LEAST_BYTES = 96
 #: Lines of more bytes are split after one word of so many, chosen by a hash of the 8 bytes before its end.
-LONG, WORDS = 100, 8
+LONG, WORDS = 120, 8
 #: Bytes beside a chunk that are compared too.
 BESIDE = 128
 #: Texts with spans to remove (some 60 bytes each) up to which these are broadcast; beyond that all texts are shuffled once.
@@ -182,15 +182,19 @@ def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def _needed(starts: list[int], ends: list[int], lead: list[bool]) -> Iterator[tuple[int, bool, bool]]:
-    """Numbers of the chunks without those that the chunks before and after them cover (first occurrences stay), and
-    whether each begins and ends a run of chunks, so that the words beside it matter."""
+    """Numbers of the chunks without those that the chunks before and after them cover, and whether each begins and ends
+    a run of chunks, so that the words beside it matter. First occurrences stay, cover nothing and end runs."""
     covered = seen = -2  # by chunks named; by all
-    for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
-        following = starts[i + 1] if i + 1 < len(starts) else 1 << 62
-        if lead[i] or following > covered + 1:
+    others = [i for i, first in enumerate(lead) if not first]
+    for i, following in zip(others, [*(starts[j] for j in others[1:]), 1 << 62], strict=False):
+        a, b = starts[i], ends[i]
+        if following > covered + 1:
             yield i, a > seen + 1, following > b + 1
             covered = b
         seen = b
+    for i, first in enumerate(lead):
+        if first:
+            yield i, False, False
 
 
 def _occurrences(docs: DataFrame, bits: np.ndarray, first_bits: np.ndarray) -> DataFrame:
