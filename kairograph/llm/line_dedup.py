@@ -1,7 +1,8 @@
 """Removal of line chunks that repeat anywhere in the corpus.
 
 A line ends at a newline or after a sentence's end, so that passages inside a
-paragraph are seen too; longer ones are split after words chosen by a hash. A
+paragraph are seen too; longer ones, also those that are a whole text, are split
+after words (of Chinese and Japanese, after signs) chosen by a hash. A
 rolling hash over the hashes of neighbouring lines chooses the boundaries. A
 boundary depends on the lines beside it only, and so a passage is cut alike
 wherever it stands. A chunk begins at each boundary and goes on to the first
@@ -42,8 +43,8 @@ BROADCAST_ROWS = 300_000
 _MOST_BITS = 1 << 29  # of the table of repeated hashes: 64 MB
 _SHIFT = 29  # bits between the parts of a hash that give its two slots
 
-_LINE_END = re.compile(rb"\n+|[.!?]+[\x20\n]+")
-_WORD_END = re.compile(rb"[\x09-\x0d\x20]")
+_LINE_END = re.compile(rb"\n+|[.!?]+[\x20\n]+|(?:\xe3\x80\x82|\xef\xbc[\x81\x9f])+[\x20\n]*")  # the last: full-width signs
+_WORD_END = re.compile(rb"[\x09-\x0d\x20]|(?=[\xe3-\xe9])")  # or before a sign
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CHUNKS = "hashes array<long>, starts array<int>, sizes array<int>"
 
@@ -51,13 +52,15 @@ _CHUNKS = "hashes array<long>, starts array<int>, sizes array<int>"
 def line_ends(data: bytes) -> list[int]:
     ends = np.array([0, *(m.end() for m in _LINE_END.finditer(data)), len(data)])
     long = np.diff(ends, append=len(data)) > LONG  # by the end before
-    if long.any() and ends[1] < len(data):  # a text of one line stays one
+    if long.any():
         d = np.frombuffer(data, dtype=np.uint8).astype(np.uint32)
-        at = np.flatnonzero(d[8:] == 0x20) + 8
+        sign = (d >= 0xE3) & (d <= 0xE9)  # first bytes of kana and Han signs, which no blanks part
+        at = np.flatnonzero(sign[8:] | (d[8:] == 0x20)) + 8
         h = np.zeros(len(at), dtype=np.uint32)
         for k in range(8, 0, -1):
             h = (h ^ d[at - k]) * np.uint32(2654435761)
-        at = at[(h >> 24) % WORDS == 0] + 1
+        at = at[(h >> 24) % WORDS == 0]
+        at = at + ~sign[at]  # after the blank
         ends = np.concatenate([ends, at[long[np.searchsorted(ends, at, side="right") - 1]]])
     return np.unique(ends)[1:].tolist()
 
@@ -128,7 +131,7 @@ def _common_right(x: bytes, y: bytes) -> int:
     k = _most(min(len(x), len(y)), lambda k: x[:k] == y[:k])
     if k == len(x) == len(y):
         return k
-    while k and not _WORD_END.match(x[k - 1 : k]):
+    while k and not (x[k - 1] in b"\t\n\v\f\r " or k > 2 and 0xE3 <= x[k - 3] <= 0xE9):  # after a blank or sign
         k -= 1
     return k
 
@@ -250,7 +253,7 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     """All columns of ``docs``, ``text`` without repeated chunks, and ``removed`` (array of [start, end) in bytes of the old text).
 
     The first occurrence, by key (nulls last), row and place, stays. Null texts
-    stay null; empty texts and texts of one line have no chunk. Rows that
+    stay null; empty texts and texts of one short line have no chunk. Rows that
     repeat lose their chunks like any other. Existing columns named
     ``removed`` are replaced.
     """

@@ -224,6 +224,18 @@ def test_equal_chunks_are_cut_alike():
     assert len(a & b) > 0.7 * len(a)
 
 
+@pytest.mark.parametrize("blank", [" ", ""])
+def test_repeats_in_texts_of_one_line_go(spark, blank):
+    draw = random.Random(9)
+    say = lambda n: words(draw, n, 900) if blank else "".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(4 * n))
+    passage = say(60)
+    texts = [blank.join([say(30), passage, say(30)]) for _ in range(6)]
+    rows = {r["doc_id"]: r for r in line_dedup.remove_repeated(frame(spark, texts)).collect()}
+    assert rows[0]["text"] == texts[0]
+    assert all(r["text"].startswith(texts[i][:60]) and r["text"].endswith(texts[i][-60:]) for i, r in rows.items())
+    assert sum(b - a for r in rows.values() for a, b in r["removed"]) >= 0.6 * 5 * len(passage.encode())
+
+
 # 8
 @pytest.mark.parametrize("group", [32, bin_packing.GROUP])
 def test_packing(spark, group):
