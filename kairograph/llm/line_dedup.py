@@ -12,8 +12,9 @@ once are compared, byte by byte, with the first occurrence in the corpus;
 equal ones go, with the words beside them as far as these equal the words
 beside the first occurrence as well.
 
-Texts move only in the last join, if at all. Which chunks may repeat reaches the texts
-as a bit table of bounded size: bits that collide only add candidates.
+Texts move only in the last join, if at all. Which chunks may repeat, and which are
+needed, reaches the texts as bit tables of bounded size: bits that collide only add
+rows, since chunks cover others only once a join has found them repeated.
 """
 
 from __future__ import annotations
@@ -156,9 +157,10 @@ def _bits(hashes: DataFrame, probes: int = 2) -> np.ndarray:
     return out
 
 
-def _place(rid, start):
-    """A number for a place in a row's text: the same for columns and for Python's integers."""
-    return rid % 2147483647 * 1000003 + start
+def _place(rid, start) -> np.ndarray:
+    """A hash of each place in a row's text."""
+    x = (np.array(rid, dtype=np.uint64, ndmin=1) * _A + np.array(start, dtype=np.uint64, ndmin=1)) * _B
+    return (x ^ x >> np.uint64(31)).view(np.int64)
 
 
 def _set(bits: np.ndarray, numbers: np.ndarray, probes: int = 2) -> np.ndarray:
@@ -184,45 +186,54 @@ def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return docs.where(F.size("hashes") > 0).select("key", "rid", "hashes", "starts", "sizes").mapInPandas(pick, "h long, size int, key string, rid long, start int")
 
 
-def _needed(starts: list[int], ends: list[int], lead: list[bool]) -> Iterator[tuple[int, bool, bool]]:
-    """Numbers of the chunks without those that the chunks before and after them cover, and whether each begins and ends
-    a run of chunks, so that the words beside it matter. First occurrences stay, cover nothing and end runs."""
+def _needed(starts: list[int], ends: list[int]) -> Iterator[tuple[int, bool]]:
+    """Numbers of a text's repeated chunks without those that the chunks before and after them cover, and whether each
+    begins or ends a run of chunks, so that the words beside it matter."""
     covered = seen = -2  # by chunks named; by all
-    others = [i for i, first in enumerate(lead) if not first]
-    for i, following in zip(others, [*(starts[j] for j in others[1:]), 1 << 62], strict=False):
-        a, b = starts[i], ends[i]
+    for i, (a, b, following) in enumerate(zip(starts, ends, [*starts[1:], 1 << 62], strict=False)):
         if following > covered + 1:
-            yield i, a > seen + 1, following > b + 1
+            yield i, a > seen + 1 or following > b + 1
             covered = b
         seen = b
-    for i, first in enumerate(lead):
-        if first:
-            yield i, False, False
 
 
-def _occurrences(docs: DataFrame, bits: np.ndarray, first_bits: np.ndarray) -> DataFrame:
-    """Rows of the chunks whose bit is set, with their bytes and those beside them; ``may_lead``: perhaps a first occurrence."""
-    shared = docs.sparkSession.sparkContext.broadcast((bits, first_bits))
+def _places(repeats: DataFrame) -> DataFrame:
+    """Places of the chunks needed (``rid, start``) and of their first occurrences, of all that repeat; ``edge``: the words beside matter."""
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for rid, starts, sizes, r_rid, r_start in zip(batch["rid"], batch["starts"], batch["sizes"], batch["r_rids"], batch["r_starts"], strict=True):
+                found = list(_needed(starts.tolist(), (starts + sizes).tolist()))
+                use = [i for i, _ in found]
+                out.append(pd.DataFrame({"place": _place(rid, starts[use]), "lead": _place(r_rid[use], r_start[use]), "edge": [edge for _, edge in found]}))
+            if out:
+                yield pd.concat(out)
+
+    each = repeats.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "size", "r_rid", "r_start"))).alias("c"))  # of one text
+    each = each.select("rid", *[F.col(f"c.{c}").alias(f"{c}s") for c in ("start", "size", "r_rid", "r_start")])
+    return each.mapInPandas(choose, "place long, lead long, edge boolean")
+
+
+def _occurrences(docs: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """Rows of the chunks whose bit is set in the tables of needed places, of those at edges, or of first occurrences,
+    with their bytes and those beside them."""
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, first_bits = shared.value
         for batch in batches:
             out = []
             for key, rid, data, h, at, size in zip(batch["key"], batch["rid"], batch["data"], batch["hashes"], batch["starts"], batch["sizes"], strict=True):
-                use = np.flatnonzero(_set(bits, h))
-                if not len(use):
-                    continue
-                lead = _set(first_bits, _place(rid, at[use].astype(np.int64)), 1).tolist()
-                h, starts, ends = h[use].tolist(), at[use].tolist(), (at + size)[use].tolist()
-                for i, left, right in _needed(starts, ends, lead):
-                    a, b = starts[i], ends[i]
-                    before, after = data[max(0, a - BESIDE) : a] if left or lead[i] else b"", data[b : b + BESIDE] if right or lead[i] else b""
-                    out.append((h[i], b - a, key, rid, a, lead[i], left, right, data[a:b], before, after))
+                needed, edge, lead = (_set(bits, _place(rid, at)) for bits in shared.value)
+                for i in np.flatnonzero(needed | lead).tolist():
+                    a, b = int(at[i]), int(at[i] + size[i])
+                    before, after = (data[max(0, a - BESIDE) : a], data[b : b + BESIDE]) if edge[i] or lead[i] else (b"", b"")
+                    out.append((int(h[i]), b - a, key, rid, a, needed[i], edge[i], lead[i], data[a:b], before, after))
             if out:
-                yield pd.DataFrame(out, columns=["h", "size", "key", "rid", "start", "may_lead", "left", "right", "body", "before", "after"])
+                yield pd.DataFrame(out, columns=["h", "size", "key", "rid", "start", "needed", "edge", "may_lead", "body", "before", "after"])
 
     text = F.coalesce("text", F.lit("")).cast("binary").alias("data")
-    return docs.where(F.size("hashes") > 0).select("key", "rid", text, "hashes", "starts", "sizes").mapInPandas(find, "h long, size int, key string, rid long, start int, may_lead boolean, left boolean, right boolean, body binary, before binary, after binary")
+    return docs.where(F.size("hashes") > 0).select("key", "rid", text, "hashes", "starts", "sizes").mapInPandas(find, "h long, size int, key string, rid long, start int, needed boolean, edge boolean, may_lead boolean, body binary, before binary, after binary")
 
 
 def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,15 +280,17 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     marked = staged(marked, "line_chunks")
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key").cast("string" if dict(docs.dtypes)[key] == "string" else "long").alias("key"), "rid", "start")
     seen = marked.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = _candidates(marked, _bits(staged(seen.select("h"), "line_hashes"))).groupBy("h", "size").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
+    found = _candidates(marked, _bits(staged(seen.select("h"), "line_hashes")))
+    repeated = found.groupBy("h", "size").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
     repeated = staged(repeated.select("h", "size", F.col("first.rid").alias("r_rid"), F.col("first.start").alias("r_start")), "line_repeated")
-    lead_bits = _bits(repeated.select(_place(F.col("r_rid"), F.col("r_start")).alias("h")), 1)
-    there = staged(_occurrences(marked, _bits(repeated), lead_bits), "line_occurrences")
+    other = (F.col("rid") != F.col("r_rid")) | (F.col("start") != F.col("r_start"))
+    places = staged(_places(found.select("h", "size", "rid", "start").join(repeated, ["h", "size"]).where(other)), "line_places")
+    tables = [_bits(p.select(F.col(c).alias("h"))) for p, c in ((places, "place"), (places.where("edge"), "place"), (places, "lead"))]
+    there = staged(_occurrences(marked, tables), "line_occurrences")
     beside = [F.col(c).alias(f"r_{c}") for c in ("rid", "start", "body", "before", "after")]
     leads = there.where("may_lead").groupBy("h", "size").agg(F.min_by(F.struct(*beside), order).alias("lead")).select("h", "size", "lead.*")
-    other = (F.col("rid") != F.col("r_rid")) | (F.col("start") != F.col("r_start"))
-    side = lambda name, needed: F.when(F.col(needed), F.col(name)).otherwise(F.lit(b"")).alias(name)
-    chunk = there.select("h", "size", "rid", "start", "body", side("before", "left"), side("after", "right"))
+    side = lambda name: F.when(F.col("edge"), F.col(name)).otherwise(F.lit(b"")).alias(name)
+    chunk = there.where("needed").select("h", "size", "rid", "start", "body", side("before"), side("after"))
     same = chunk.join(leads, ["h", "size"]).where(other & (F.col("body") == F.col("r_body")))
     spans = same.select("rid", "start", "size", "before", "after", "r_before", "r_after").mapInPandas(_spans, "rid long, start long, end long")
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text

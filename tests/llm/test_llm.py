@@ -216,6 +216,11 @@ def test_repeated_passages_go(spark):
     assert all(rows[i]["text"] == texts[i] for i in range(6, len(texts)))
 
 
+def test_false_candidates_hide_no_repeat(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_bits", lambda hashes, probes=2: np.full(1 << 10, 255, dtype=np.uint8))  # full: all are candidates
+    test_repeated_passages_go(spark)
+
+
 def test_equal_chunks_are_cut_alike():
     draw = random.Random(8)
     middle = "".join(words(draw, 7, 99) + ".\n" for _ in range(40))
