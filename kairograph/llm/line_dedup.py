@@ -83,11 +83,17 @@ def lines(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chunk_arrays(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash (by the lines' hashes), start and size in bytes of each chunk, by start."""
+    """Hash (by the lines' hashes and the blanks between them), start and size in bytes of each chunk, by start."""
     h, starts, ends = lines(data)
     n = len(h)
     if n < LEAST:
         return np.zeros(0, dtype=np.int64), starts[:0], starts[:0]
+    wide = starts[1:] - ends[:-1]
+    between = np.where(wide > 0, np.frombuffer(data, dtype=np.uint8)[ends[:-1]], 0).astype(np.uint64)
+    for i in np.flatnonzero(wide > 1).tolist():
+        between[i] = xxhash.xxh64_intdigest(data[ends[i] : starts[i + 1]], 1)
+    inner = h.copy()  # with the blanks before each line
+    inner[1:] += between * _B
     rolling = h[1:] * _A + h[:-1] * _B >> np.uint64(33)
     # a boundary stands before a line of that number; the text's start and end are boundaries
     chosen = np.flatnonzero(np.concatenate([[True, True], rolling % np.uint64(SPARE) != 0]) | (np.arange(n + 1) % MOST == 0))
@@ -99,7 +105,7 @@ def chunk_arrays(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total, weight = np.zeros(len(first), dtype=np.uint64), last - first
     for k in range(int(weight.max(initial=0))):
         some = weight > k
-        total[some] = (total[some] ^ h[first[some] + k]) * _A
+        total[some] = (total[some] ^ (inner if k else h)[first[some] + k]) * _A
     return (total ^ total >> np.uint64(29)).view(np.int64), starts[first], ends[last - 1] - starts[first]
 
 

@@ -221,6 +221,15 @@ def test_false_candidates_hide_no_repeat(spark, monkeypatch):
     test_repeated_passages_go(spark)
 
 
+def test_first_occurrence_with_other_line_breaks_shields_no_copies(spark):
+    draw = random.Random(10)
+    parts = [words(draw, 9, 500) + "." for _ in range(12)]
+    texts = [f"{words(draw, 30, 900)}. {blank.join(parts)} {words(draw, 30, 900)}." for blank in ("\n", " ", " ", " ", "\n\n", "\n\n", "\n")]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated(frame(spark, texts)).collect()}
+    assert {i for i, t in rows.items() if t == texts[i]} == {0, 1, 4}  # the first of each form
+    assert not any(p in rows[i] for i in (2, 3, 5, 6) for p in parts[2:-2])
+
+
 def test_equal_chunks_are_cut_alike():
     draw = random.Random(8)
     middle = "".join(words(draw, 7, 99) + ".\n" for _ in range(40))
