@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from ._shared import staged
 
 #: Every line's end is a boundary but for one of so many, by the rolling hash.
-SPARE = 4
+SPARE = 16
 LEAST, MOST = 2, 32  # lines in a chunk, and between boundaries
 #: Chunks have this many bytes at least: fewer are no passage.
-LEAST_BYTES = 96
+LEAST_BYTES = 64
 #: Lines of more bytes are split after one word of so many, chosen by a hash of the 8 bytes before its end.
-LONG, WORDS = 120, 8
+LONG, WORDS = 100, 8
 #: Bytes beside a chunk that are compared too.
 BESIDE = 128
 #: Texts with spans to remove (some 60 bytes each) up to which these are broadcast; beyond that all texts are shuffled once.

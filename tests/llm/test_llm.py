@@ -250,6 +250,15 @@ def test_repeats_in_texts_of_one_line_go(spark, blank):
     assert sum(b - a for r in rows.values() for a, b in r["removed"]) >= 0.6 * 5 * len(passage.encode())
 
 
+def test_short_passages_hold_a_whole_chunk():
+    draw, shared = random.Random(11), 0
+    for _ in range(300):
+        passage = " ".join(words(draw, 17, 900) + "." for _ in range(3))
+        a, b = ({h for h, _, _ in line_dedup.chunks(f"{words(draw, 12, 900)}. {passage} {words(draw, 12, 900)}.".encode())} for _ in range(2))
+        shared += bool(a & b)
+    assert shared >= 0.97 * 300
+
+
 # 8
 @pytest.mark.parametrize("group", [32, bin_packing.GROUP])
 def test_packing(spark, group):
