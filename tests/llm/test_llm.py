@@ -216,9 +216,51 @@ def test_repeated_passages_go(spark):
     assert all(rows[i]["text"] == texts[i] for i in range(6, len(texts)))
 
 
-def test_false_candidates_hide_no_repeat(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "_bits", lambda hashes, probes=2: np.full(1 << 10, 255, dtype=np.uint8))  # full: all are candidates
-    test_repeated_passages_go(spark)
+@pytest.mark.parametrize("table", [True, False])
+def test_line_dedup_matches_all_chunks_of_all_texts(spark, monkeypatch, table):
+    """Against a dictionary of the bytes of every chunk; both ways to find first occurrences."""
+    if not table:
+        monkeypatch.setattr(line_dedup, "BROADCAST_FIRSTS", -1)
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    draw = random.Random(14)
+    pool = [words(draw, draw.randint(2, 25), 300) + draw.choice([".", "!", "\n", "。", ".\n\n"]) for _ in range(60)]
+    texts = [draw.choice(["", " ", "\n"]).join(draw.choice(pool) if draw.random() < 0.7 else words(draw, 12, 900) + "." for _ in range(draw.choice([0, 3, 30, 200]))) for _ in range(60)]
+    texts += [texts[1], None, "The " * 700, "The " * 500, "x" * 9000]
+    draw.shuffle(texts)
+    first, expected = set(), {}
+    for i, t in enumerate(texts):
+        data, gone = (t or "").encode(), set()
+        for _, a, b in line_dedup.chunks(data):
+            if data[a:b] in first:
+                gone.update(range(a, b))
+            first.add(data[a:b])
+        expected[i] = gone
+    for r in line_dedup.remove_repeated(frame(spark, texts)).collect():
+        data, i = (texts[r["doc_id"]] or "").encode(), r["doc_id"]
+        gone = {x for a, b in r["removed"] for x in range(a, b)}
+        assert expected[i] <= gone
+        assert all(a == 0 or any(a + k in expected[i] for k in range(line_dedup.BESIDE + 1)) for a, _ in r["removed"])
+        if r["removed"]:
+            kept = bytes(x for k, x in enumerate(data) if k not in gone)
+            assert r["text"].encode() == kept
+        else:
+            assert r["text"] == texts[i]
+    assert any(expected.values())
+
+
+def test_chunks_do_not_depend_on_blocks(monkeypatch):
+    draw = random.Random(15)
+    text = "".join(words(draw, draw.randint(1, 40), 900) + draw.choice([". ", "\n", "\n \n", "! "]) for _ in range(60_000)).encode()
+    assert len(text) > 1 << 20
+    parts = set(line_dedup.chunks(text))
+    assert len(parts) == len(line_dedup.chunks(text))
+    monkeypatch.setattr(line_dedup, "BLOCK", 1 << 25)
+    assert len(parts & set(line_dedup.chunks(text))) == len(parts)
+    short = [text[i * 97 : i * 131].strip(b"\xc0") for i in range(90)] + [b"", b" "]
+    for at, _, begins, owner, h, a, b in line_dedup.chunk_texts(short):
+        for i in range(len(begins)):
+            mine = owner == i
+            assert list(zip(h[mine].tolist(), (a[mine] - begins[i]).tolist(), (b[mine] - begins[i]).tolist(), strict=True)) == line_dedup.chunks(short[at + i])
 
 
 def test_first_occurrence_with_other_line_breaks_shields_no_copies(spark):

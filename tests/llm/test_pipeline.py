@@ -22,7 +22,7 @@ def test_stages_match_plain_versions(spark, tmp_path):
     texts = [". ".join(say(draw, letters[i % 2], 12) for _ in range(4)) + "." for i in range(60)]
     passage = ". ".join(say(draw, letters[0], 9) for _ in range(9)) + "."
     texts += [f"{say(draw, letters[0], 20)}. {passage} {say(draw, letters[0], 20)}." for _ in range(4)]
-    line = say(draw, letters[1], 60)  # one line: no chunk, so that copies reach the near-duplicate stage
+    line = say(draw, letters[1], 8)  # too short for a chunk, so that copies reach the near-duplicate stage
     texts += [line, line.upper(), line]
     item = say(draw, letters[0], 25)
     texts += [f"{say(draw, letters[0], 30)} {item} {say(draw, letters[0], 30)}", None, "", "12 34 56"]
