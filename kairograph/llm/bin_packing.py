@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
-Texts are tokenised where they lie. Each task packs the pieces that it has
-made in groups of at most GROUP pieces, so that the first round moves nothing;
-the pieces of sequences that are not nearly full are dealt out in groups of
-bounded size and packed once more.
+Texts are tokenised where they lie; only their pieces' lengths move. Pieces
+are dealt by a hash to groups of about GROUP, so that each group has pieces
+of all lengths however the rows lie, and are packed there; the pieces of
+sequences that are not nearly full are dealt out and packed once more.
 """
 
 from __future__ import annotations
@@ -16,17 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import staged
+from ._shared import discard, staged
 
 CAPACITY = 2048
 #: Pieces that are packed together.
 GROUP = 8192
 #: Sequences filled less than this are packed again with those of other tasks.
 LOOSE = 0.99
+#: Sequences to pack again (8 bytes each) up to which their numbers are broadcast.
+BROADCAST_ROWS = 500_000
 _BLOCK = 1 << 20
 _CUT = re.compile(r"[A-Za-z] (?=[A-Za-z])")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ž]*")
@@ -39,27 +40,27 @@ def _encoders(stem: str):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(f"{stem}.json"))
-    whole.encode_special_tokens = True
+    special = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or r"(?!)")
     with open(public_tokenizers.path(f"{stem}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return whole, tiktoken.Encoding(stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return whole, special, tiktoken.Encoding(stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(text: str, stem: str = "byte_bpe_50k") -> np.ndarray:
-    """The tokenizer's ids of a whole text, special tokens' strings being ordinary text.
+    """The tokenizer's ids of a whole text, as ``encode(text, add_special_tokens=False)`` gives them.
 
     The vocabulary exists in two forms that give the same ids. Texts of
-    ordinary Latin letters, digits and signs go by the faster one; all others
-    by the tokenizer file itself. Very long texts are cut before a blank
+    ordinary Latin letters, digits and signs go by the faster one; all others,
+    and those that hold the string of a special token, by the tokenizer file itself. Very long texts are cut before a blank
     between two letters, where no token reaches across.
     """
-    whole, fast = _encoders(stem)
+    whole, special, fast = _encoders(stem)
     parts, at = [], 0
     while at < len(text):
         cut = _CUT.search(text, at + _BLOCK) if len(text) - at > _BLOCK else None
         end = cut.end() - 1 if cut else len(text)
         part = text[at:end]
-        plain = _PLAIN.match(part).end() == len(part)
+        plain = _PLAIN.match(part).end() == len(part) and not special.search(part)
         parts.append(np.array(fast.encode_ordinary(part) if plain else whole.encode(part, add_special_tokens=False).ids, dtype="<u4"))
         at = end
     return np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")
@@ -164,14 +165,22 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
 
 
 #: Keys travel as text: pandas would turn a long column that has nulls into doubles.
-_PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+_PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
+_PACKED = f"{_PIECE}, sequence_id long, offset long"
 
 
-def _grouped(rows: list[tuple], capacity: int, first: int) -> tuple[pd.DataFrame, int]:
-    frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-    bins, frame["offset"] = pack(frame["length"].to_numpy(dtype=np.int64), capacity)
-    frame["sequence_id"] = bins + first
-    return frame, first + (int(bins.max()) + 1 if len(bins) else 0)
+def _packed(pieces: DataFrame, shards: int, first: int, capacity: int) -> DataFrame:
+    """Pieces with sequence numbers (from ``first``) and offsets, packed in groups by their hash ``deal``."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("deal", ignore_index=True)
+        bins, part["offset"] = pack(part["length"].to_numpy(dtype=np.int64), capacity)
+        part["sequence_id"] = first + part["shard"].astype("int64") * (1 << 24) + bins
+        return part.drop(columns=["deal", "shard"])
+
+    names = [c.split()[0] for c in _PIECE.split(", ")]
+    dealt = pieces.select(*names, "deal", F.pmod("deal", F.lit(shards)).alias("shard"))
+    return dealt.groupBy("shard").applyInPandas(one, _PACKED)
 
 
 def pack_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group: int = GROUP, stem: str = "byte_bpe_50k") -> DataFrame:
@@ -180,39 +189,31 @@ def pack_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Null and empty texts are the end token alone. Rows with null or repeated
     keys are packed each for itself. No rows: no pieces.
     """
-    spark = docs.sparkSession
     encoders = _encoders  # loaded once per worker
 
-    def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoders(stem)
-        number = TaskContext.get().partitionId() << 36
-        waiting: list[tuple] = []
         for batch in batches:
+            out = []
             for doc, body in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
                 ids = np.append(token_ids(body, stem), np.uint32(0)).astype("<u4")
-                waiting += [(doc, *p) for p in pieces(ids, capacity)]
-                while len(waiting) >= group:
-                    frame, number = _grouped(waiting[:group], capacity, number)
-                    waiting = waiting[group:]
-                    yield frame
-        if waiting:
-            yield _grouped(waiting, capacity, number)[0]
-
-    def second_round(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.reset_index(drop=True)
-        bins, part["offset"] = pack(part["length"].to_numpy(dtype=np.int64), capacity)
-        part["sequence_id"] = (1 << 62) + part["deal"].astype("int64") * (1 << 20) + bins
-        return part.drop(columns="deal")
+                out += [(doc, *p) for p in pieces(ids, capacity)]
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    done = staged(rows.mapInPandas(first_round, _PIECE), "packed")
+    deal = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    made = staged(rows.mapInPandas(cut, _PIECE).withColumn("deal", deal), "pieces")
+    shards = max(1, round(made.count() / group))
+    done = staged(_packed(made, shards, 0, capacity), "packed")
+    discard(made)
     fills = done.groupBy("sequence_id").agg(F.sum("length").alias("fill")).where(F.col("fill") < LOOSE * capacity)
-    fills = staged(fills, "packed_loose")
+    fills = staged(fills.select("sequence_id"), "packed_loose")
     n = fills.count()
     as_long = lambda df: df.withColumn("doc_id", F.col("doc_id").cast("long"))
-    if not n:
+    if n < 2:
         return as_long(done)
-    shards = -(-n // (group // 4))
-    loose = fills.select("sequence_id", F.pmod(F.xxhash64("sequence_id"), F.lit(shards)).alias("deal"))
-    again = done.join(loose, "sequence_id").groupBy("deal").applyInPandas(second_round, _PIECE)
-    return as_long(done.join(loose, "sequence_id", "left_anti").select(*again.columns).unionByName(again))
+    small = n <= BROADCAST_ROWS
+    loose = F.broadcast(fills) if small else fills
+    rest = done.join(loose, "sequence_id", "left_semi").withColumn("deal", F.xxhash64("sequence_id", F.lit(3)))
+    again = _packed(rest, max(1, round(4 * n / group)), 1 << 62, capacity)
+    return as_long(done.join(loose, "sequence_id", "left_anti").unionByName(again))
