@@ -16,7 +16,7 @@ import re._constants as sre
 import re._parser as sre_parser
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import staged
@@ -114,24 +114,24 @@ def candidates(index: DataFrame, asked: dict[str, list[list[str]]]) -> DataFrame
     )
 
 
-def _located(matches: Column, gaps: Column) -> Column:
-    """Start, end and text of each match, from the matches and the pieces of text between them."""
-    none = F.expr("cast(array() as array<struct<s: int, e: int, m: string>>)")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("s"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"),
-    )
-    pairs = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"))
-    pairs = F.transform(pairs, lambda x: F.struct(x["m"].alias("m"), x["g"].alias("g")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-
+def _steps(matches: Column, gaps: Column) -> Column:
+    """For each match the lengths of the text before it, since the last match, and of itself, and the match."""
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("g"), matches.alias("m"))
+    return F.transform(pairs, lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), x["m"].alias("m")))
 
-def _long_enough(rule: Rule):
-    return lambda x: F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least
 
-
-def _span(number: int, rule: Rule):
-    return lambda x: F.struct(x["s"].alias("start"), F.lit(number).alias("rule"), x["e"].alias("end"), F.lit(rule.kind).alias("kind"))
+def _spans(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``rid, spans`` of rows ``rid, steps`` (the steps of each rule): ends are running sums over a text's matches."""
+    each = found.select("rid", F.posexplode("steps").alias("rule", "steps")).where(F.size("steps") > 0)
+    each = each.select("rid", "rule", F.posexplode("steps").alias("at", "x")).select("rid", "rule", "at", "x.*")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("rid", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    each = each.withColumn("end", end)
+    for i, r in enumerate(rules):
+        if r.least:
+            each = each.where((F.col("rule") != i) | (F.length(F.regexp_extract("m", r.pattern, r.group)) >= r.least))
+    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rule") + 1)
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "rule", "end", kind.alias("kind"))
+    return each.groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("spans"))  # of one text
 
 
 def find_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,16 +156,14 @@ def find_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, key: str =
     for r in rules:
         wanted = F.array_contains("rules", r.kind) if r.kind in asked else F.lit(True)
         rows = rows.withColumn(f"m_{r.kind}", F.when(wanted, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))))
+    steps = []
     for r in rules:
-        rows = rows.withColumn(f"g_{r.kind}", F.when(F.size(f"m_{r.kind}") > 0, F.split("text", r.pattern, -1)))
-    spans = []
-    for i, r in enumerate(rules):
-        at = _located(F.col(f"m_{r.kind}"), F.col(f"g_{r.kind}"))
-        if r.least:
-            at = F.filter(at, _long_enough(r))
-        at = F.transform(at, _span(i, r))
-        spans.append(F.when(F.size(f"m_{r.kind}") > 0, at).otherwise(F.expr("cast(array() as array<struct<start: int, rule: int, end: int, kind: string>>)")))
-    return rows.select("doc_id", F.array_sort(F.concat(*spans)).alias("found"))
+        some = F.size(f"m_{r.kind}") > 0
+        steps.append(F.when(some, _steps(F.col(f"m_{r.kind}"), F.split("text", r.pattern, -1))))
+    scanned = staged(rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.array(*steps).alias("steps")), "secret_steps")
+    spans = _spans(scanned.where(F.exists("steps", lambda x: F.size(x) > 0)).select("rid", "steps"), rules)
+    none = F.expr("cast(array() as array<struct<start: int, rule: int, end: int, kind: string>>)")
+    return scanned.select("doc_id", "rid").join(spans, "rid", "left").select("doc_id", F.coalesce("spans", none).alias("found"))
 
 
 def digest(found: DataFrame) -> DataFrame:
