@@ -101,6 +101,42 @@ def test_language(spark, odd):
     assert {r["lang_pred"] for r in lang_id.identify(odd).where("doc_id in (0, 1, 2)").collect()} == {"und"}
 
 
+@pytest.mark.parametrize("lang_block", [256, 1])
+def test_language_totals_match_plain_sums(spark, monkeypatch, lang_block):
+    """Against one n-gram after another, over texts that are longer than a block."""
+    draw = random.Random(4)
+    monkeypatch.setattr(lang_id, "LANG_BLOCK", lang_block)
+    texts = ["".join(draw.choice("abcé İß日 ") for _ in range(n)) for n in (0, 1, 2, 700, 5, 64, 128, 3000)]
+    rows = [(i, t, "xyz"[i % 3], "s", 0) for i, t in enumerate(texts)]
+    model = lang_id.fit(spark.createDataFrame(rows, DOCS))
+    assert [x for langs, _ in model for x in langs] == ["x", "y", "z"]
+    logp = np.concatenate([m for _, m in model], axis=1)
+
+    def bucket(gram):
+        h = 0
+        for c, m in zip(gram, lang_id._MULT, strict=False):
+            h = ((h ^ ord(c)) * int(m)) & 0xFFFFFFFF
+        return ((h ^ h >> 15 ^ len(gram) * 0x9E37) * int(lang_id._MULT[0]) & 0xFFFFFFFF) >> 16
+
+    grams = [[bucket(f" {t.lower()} "[i : i + n]) for n in lang_id.ORDERS for i in range(len(f" {t.lower()} ") - n + 1)] for t in texts]
+    plain = np.array([[sum(float(logp[b, k]) for b in g) for k in range(3)] for g in grams])
+    monkeypatch.setattr(lang_id, "BLOCK", 64)
+    assert np.allclose(lang_id.totals(texts, logp), plain)
+    counts = np.full((lang_id.BUCKETS, 3), lang_id.ALPHA)
+    for i, g in enumerate(grams):
+        np.add.at(counts[:, i % 3], g, 1)
+    assert np.allclose(logp, np.log(counts / counts.sum(axis=0)), atol=1e-5)
+    share = np.exp(plain - plain.max(axis=1, keepdims=True))
+    best, score = plain.argmax(axis=1), share.max(axis=1) / share.sum(axis=1)
+    more = [*rows, (98, "½ ² 12 --", "x", "s", 0), (99, None, "x", "s", 0)]
+    for r in lang_id.predict(spark.createDataFrame(more, DOCS + "").withColumn("score", F.lit("clash")), model).collect():
+        i = r["doc_id"]
+        if i > 90 or not any(c.isalpha() for c in texts[i]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert r["lang_pred"] == "xyz"[best[i]] and abs(r["score"] - score[i]) < 1e-6
+
+
 # 3
 def test_covering_masks_miss_no_pair():
     masks = simhash_dedup.covering_masks()
@@ -307,9 +343,10 @@ def test_packing(spark, group):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
     whole = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     draw = random.Random(9)
-    texts = [words(draw, draw.randint(1, 1500), 5000) for _ in range(60)] + [None, "", "<|endoftext|> 　日本\u0085x's  \n\n ", "word " * 4000]
+    long = words(draw, 300_000, 5000)
+    texts = [words(draw, draw.randint(1, 1500), 5000) for _ in range(60)] + [None, "", "<|endoftext|> 　日本\u0085x's  \n\n ", "x <|endoftext|> y", "word " * 4000, long]
+    assert len(long) > bin_packing._BLOCK
     rows = bin_packing.pack_documents(frame(spark, texts), group=group).collect()
     ids = {i: np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4") for i, t in enumerate(texts)}
     for r in rows:
@@ -324,6 +361,15 @@ def test_packing(spark, group):
     assert sum(r["length"] for r in rows) == total and len(bins) <= -(-total // 2048) + (1 if group > 32 else 5)
 
 
+def test_packing_mixes_sorted_rows(spark):
+    """Long texts first, then short ones that would fill sequences by themselves."""
+    pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    texts = ["a" + " a" * 1098] * 200 + ["a" + " a" * 92] * 2000
+    rows = bin_packing.pack_documents(frame(spark, texts).repartitionByRange(4, "doc_id"), group=512)
+    total = rows.agg(F.sum("length")).first()[0]
+    assert rows.select("sequence_id").distinct().count() <= 1.03 * total / 2048 + 1
+
+
 def test_local_search_only_helps():
     draw = np.random.default_rng(1)
     for _ in range(20):
