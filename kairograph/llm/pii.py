@@ -2,11 +2,14 @@
 
 Spans of the fixed kinds are the seeds. A pattern is the two words before a
 span; an instance is what stands there: a seed, or another identifier-like
-token. Spark scores the graph of patterns and instances in turns: a pattern
-by the share of its instances believed to be of the kind, an instance by the
-patterns that extract it. Patterns with enough distinct seeds, of high
-confidence, and mostly followed by identifiers wherever they occur in the
-corpus, add the other tokens that they extract to the spans.
+token. In each round, patterns with enough distinct known instances, and mostly
+followed by identifiers wherever they occur in the corpus, are scored on the
+graph of patterns and instances: a pattern by the share of its instances
+believed to be of the kind, where a seed counts one and any other instance what
+the *other* patterns that extract it say, so that no pattern vouches for itself.
+Instances of patterns of high confidence become known, and let further patterns
+be induced in the next round. In the end the patterns accepted in any round add
+the other tokens that they extract to the spans.
 """
 
 from __future__ import annotations
@@ -19,14 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import staged, text_bytes
+from ._shared import discard, staged, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds that a pattern needs, and the least confidence of patterns and added instances.
 SUPPORT, CONFIDENCE = 5, 0.8
 #: Least share of a pattern's occurrences that an identifier follows.
 FOLLOWED = 0.5
-ROUNDS = 3
+#: Rounds of bootstrapping at most (it ends when a round accepts no new pattern), and turns of scoring in each.
+ROUNDS, TURNS = 4, 3
 #: Patterns (some 30 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -36,7 +40,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"(?<![\w@.+-])(?=[A-Za-z0-9@._+/-]*[0-9])[A-Za-z0-9][A-Za-z0-9@._+/-]{4,}[A-Za-z0-9]")
+_TOKEN = re.compile(r"(?<![\w@.+-])(?=[A-Za-z._+/-]*[0-9@])[A-Za-z0-9][A-Za-z0-9@._+/-]{4,}[A-Za-z0-9]")
 _FOLD = bytes.maketrans(b"123456789", b"000000000")
 
 
@@ -85,13 +89,13 @@ def context(text: str, start: int) -> str:
 
 
 def other_tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens (6 characters with 4 digits or more) that overlap no base span."""
+    """Identifier-like tokens (6 characters with 4 digits or an @ inside) that overlap no base span."""
     ends = sorted((a, b) for a, _, b in taken)
     i = 0
     for m in _TOKEN.finditer(text):
         while i < len(ends) and ends[i][1] <= m.start():
             i += 1
-        if (i == len(ends) or ends[i][0] >= m.end()) and sum("0" <= c <= "9" for c in m[0]) >= 4:
+        if (i == len(ends) or ends[i][0] >= m.end()) and ("@" in m[0] or sum("0" <= c <= "9" for c in m[0]) >= 4):
             yield m.span()
 
 
@@ -143,26 +147,59 @@ def pattern_background(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return counts.groupBy("pattern").agg(F.sum("n").alias("total"))
 
 
+def scored(links: DataFrame, turns: int = TURNS) -> DataFrame:
+    """``pattern, k, score`` of the patterns in ``links`` (``pattern, k, instance, known, size``; one row for each pattern, kind and instance).
+
+    ``known`` is the belief in known instances, null for others; ``size`` the pattern's distinct
+    instances. Other instances get 1 - the product of (1 - score) over the other patterns of the kind.
+    """
+    doubt = lambda c: F.log(F.greatest(F.lit(1e-9), 1 - F.col(c)))
+    sure = F.sum("known") / F.col("size")
+    now = links.groupBy("pattern", "k", "size").agg(sure.alias("score"))
+    shared = links.where("known is null").groupBy("instance", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("instance", "k")
+    shared = staged(links.join(shared, ["instance", "k"], "left_semi").where("known is null").select("pattern", "k", "instance"), "pii_shared")
+    base = now = staged(now, "pii_scores")
+    for _ in range(turns if not shared.isEmpty() else 0):
+        each = shared.join(F.broadcast(now) if now.count() <= BROADCAST_ROWS else now, ["pattern", "k"])
+        all_ = each.groupBy("instance", "k").agg(F.sum(doubt("score")).alias("all"))
+        others = each.join(all_, ["instance", "k"]).groupBy("pattern", "k").agg(F.sum(1 - F.exp(F.least(F.lit(0.0), F.col("all") - doubt("score")))).alias("more"))
+        before = now
+        now = base.join(others, ["pattern", "k"], "left").select("pattern", "k", "size", (F.col("score") + F.coalesce("more", F.lit(0.0)) / F.col("size")).alias("score"))
+        now = staged(now, "pii_scores")
+        if before is not base:
+            discard(before)
+    return now.select("pattern", "k", "score")
+
+
 def learn_patterns(marked: DataFrame, texts: DataFrame) -> DataFrame:
     """``pattern, k, score`` of the accepted patterns, from rows with ``marks`` and the corpus' texts (``data``)."""
     seen = marked.select(F.inline("marks")).groupBy("pattern", "instance", "k").agg(F.count(F.lit(1)).alias("n"))
     seen = staged(seen.where(F.col("pattern") != ""), "pii_graph")
-    support = seen.where("k >= 0").groupBy("pattern", "k").agg(F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    sizes = seen.groupBy("pattern").agg(F.count_distinct("instance").alias("size"), F.sum("n").alias("followed"))
-    start = staged(support.join(sizes, "pattern"), "pii_patterns").where(F.col("seeds") / F.col("size") >= CONFIDENCE / 2)
-    total = pattern_background(texts, start.select("pattern").distinct())
-    strong = start.join(total, "pattern", "left").where(F.col("followed") >= FOLLOWED * F.greatest("followed", F.coalesce("total", F.lit(0))))
-    strong = staged(strong.select("pattern", "k", "seeds", "size"), "pii_strong")
-    links = seen.select("pattern", "instance", F.col("k").alias("own")).distinct().join(strong, "pattern")
-    links = staged(links.select("pattern", "k", "instance", "own", "size"), "pii_links")
-    scored = strong.select("pattern", "k", (F.col("seeds") / F.col("size")).alias("score"))
-    for _ in range(ROUNDS if strong.count() else 0):
-        belief = links.join(scored, ["pattern", "k"]).groupBy("instance", "k").agg(
-            (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))).alias("belief"), F.max(F.col("own") == F.col("k")).alias("seed"))
-        belief = belief.select("instance", "k", F.when(F.col("seed"), 1.0).otherwise(F.col("belief")).alias("belief"))
-        scored = links.join(belief, ["instance", "k"]).groupBy("pattern", "k", "size").agg(F.sum("belief").alias("s")).select("pattern", "k", (F.col("s") / F.col("size")).alias("score"))
-        scored = staged(scored, "pii_scores")
-    return scored.where(F.col("score") >= CONFIDENCE)
+    sizes = seen.groupBy("pattern").agg(F.count_distinct("instance").alias("size"), F.sum("n").alias("followed")).where(F.col("size") >= SUPPORT)
+    sizes = staged(sizes, "pii_patterns")
+    total = pattern_background(texts, sizes.select("pattern"))
+    fit = sizes.join(total, "pattern", "left").where(F.col("followed") >= FOLLOWED * F.greatest("followed", F.coalesce("total", F.lit(0)))).select("pattern", "size")
+    graph = staged(seen.select("pattern", "instance").distinct().join(fit, "pattern"), "pii_links")
+    known = staged(seen.where("k >= 0").select("instance", "k").distinct().withColumn("belief", F.lit(1.0)), "pii_known")
+    accepted = known.select(F.lit("").alias("pattern"), "k", F.col("belief").alias("score")).where("false")
+    for _ in range(ROUNDS):
+        support = graph.join(known, "instance").groupBy("pattern", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("belief").alias("sum"), F.first("size").alias("size"))
+        able = support.where((F.col("n") >= SUPPORT) & (F.col("sum") >= CONFIDENCE / 2 * F.col("size"))).select("pattern", "k")
+        able = staged(able.join(accepted.select("pattern", "k"), ["pattern", "k"], "left_anti"), "pii_able")
+        if able.isEmpty():
+            break
+        tried = staged(able.unionByName(accepted.select("pattern", "k")), "pii_tried")
+        links = graph.join(tried, "pattern").join(known, ["instance", "k"], "left").select("pattern", "k", "instance", F.col("belief").alias("known"), "size")
+        links = staged(links, "pii_round")
+        new = scored(links).join(accepted.select("pattern", "k"), ["pattern", "k"], "left_anti").where(F.col("score") >= CONFIDENCE)
+        new = staged(new, "pii_new")
+        if new.isEmpty():
+            break
+        found = links.where("known is null").join(new, ["pattern", "k"]).groupBy("instance", "k").agg(F.max("score").alias("belief"))
+        known = staged(known.unionByName(found), "pii_known")
+        accepted = staged(accepted.unionByName(new), "pii_accepted")
+        discard(links, tried, able)
+    return accepted
 
 
 def find_personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,5 +230,5 @@ def digest(found: DataFrame) -> DataFrame:
     count = lambda n: F.size(F.filter(base, lambda x: x["k"] == n)).cast("long")
     return found.select(
         "doc_id", *[count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)],
-        F.sha2(said(base), 256).alias("base_sha256"), said(F.col("found")).alias("spans"),
+        F.sha2(said(base), 256).alias("base_sha256"), said(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"),
     )

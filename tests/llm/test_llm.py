@@ -88,6 +88,40 @@ def test_pii_patterns_find_unseen_identifiers(spark):
     assert found[14]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_pii_pattern_cannot_vouch_for_itself(spark):
+    """Nine addresses and eleven order codes behind the same words: the codes stay out."""
+    texts = [f"see status code user{i}@ex{i}.com now" for i in range(9)] + [f"see status code ZZ-10{i:03d} now" for i in range(11)]
+    found = pii.digest(pii.find_personal_data(frame(spark, texts))).collect()
+    assert all(r["spans"] == "" for r in found if r["doc_id"] >= 9) and all(r["n_spans"] == 1 for r in found if r["doc_id"] < 9)
+
+
+def test_pii_instances_found_induce_patterns(spark):
+    """Unseen identifiers of a strong pattern carry a second one, which no seed follows; a third, by chance like the first, is refused."""
+    texts = [f"Some words. contact mail user{i}@ex{i}.com bye" for i in range(120)]
+    texts += [f"Some words. contact mail user77-at-ex99{i}-com bye" for i in range(10, 22)]
+    texts += [f"odd bill no user77-at-ex99{i}-com bye" for i in range(10, 12)] + [f"odd bill no 2024-00{i}-11 bye" for i in range(20)]
+    texts += [f"Other text, reach under user77-at-ex99{i}-com bye" for i in range(10, 22)] + ["Other text, reach under someone-at-ex5544-com bye"]
+    found = {r["doc_id"]: r for r in pii.digest(pii.find_personal_data(frame(spark, texts))).collect()}
+    start = texts[-1].index("someone")
+    assert found[len(texts) - 1]["spans"] == f"email:{start}:{start + len('someone-at-ex5544-com')}"
+    assert all(r["spans"] == "" for i, r in found.items() if 132 <= i < 154)
+
+
+def test_pii_scores_match_plain_turns(spark):
+    draw = random.Random(6)
+    rows = sorted({(f"p{draw.randrange(6)}", draw.randrange(2), f"i{draw.randrange(25)}") for _ in range(160)})
+    size = collections.Counter((p, k) for p, k, _ in rows)
+    known = {i: (1.0 if draw.random() < 0.5 else None) for i in {i for _, _, i in rows}}
+    score = {pk: sum(known[i] or 0 for p, k, i in rows if (p, k) == pk) / n for pk, n in size.items()}
+    base = dict(score)
+    for _ in range(pii.TURNS):
+        other = lambda pk, i: 1 - math.prod(1 - score[p, k] for p, k, x in rows if x == i and k == pk[1] and p != pk[0])
+        score = {pk: base[pk] + sum(other(pk, i) for p, k, i in rows if (p, k) == pk and known[i] is None) / n for pk, n in size.items()}
+    links = spark.createDataFrame([(p, k, i, known[i], size[p, k]) for p, k, i in rows], "pattern string, k int, instance string, known double, size long")
+    got = {(r["pattern"], r["k"]): r["score"] for r in pii.scored(links).collect()}
+    assert set(got) == set(score) and all(abs(got[x] - score[x]) < 1e-6 for x in score)
+
+
 # 2
 def test_language(spark, odd):
     draw = random.Random(1)
