@@ -249,10 +249,24 @@ def test_lm_scores(spark):
 
 def test_lm_is_normalised():
     model = lm_score.start_model(np.arange(1.0, 21.0))
-    grams = np.random.default_rng(0).integers(0, 20, (50, 3))
+    ids = np.concatenate([[1, 1, *x, 1] for x in np.random.default_rng(0).integers(2, 20, (9, 30))])
+    assert [int(x) for x in lm_score._targets(np.array([1, 1, 5, 6, 1, 1, 1, 1, 1, 1, 7, 1]))] == [2, 3, 4, 7, 10, 11]
     noise = np.full(20, 0.05)
-    s1, s2, z = lm_score.log_tables(lm_score.train(model, grams, np.ones(50), noise, 30))
-    assert np.exp(s1[:, None, :] + s2[None, :, :] - z[:, :, None]).sum(axis=2) == pytest.approx(1)
+    s1, s2, z = lm_score.log_tables(lm_score.train(model, ids, noise, 30, 0))
+    assert np.exp(s1[:, None, :] + s2[None, :, :] - z[:, :, None]).sum(axis=2) == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 300)
+    monkeypatch.setattr(lm_score, "TREE", 3)
+    monkeypatch.setattr(lm_score, "HEAD", 60)  # the others by a join
+    draw = random.Random(16)
+    texts = [" ".join(f"w{int(draw.paretovariate(0.7))}" for _ in range(draw.randint(5, 60))) for _ in range(300)]
+    got = []
+    for n in (2, 16):
+        rows = lm_score.score_documents(frame(spark, texts).repartition(n)).collect()
+        got.append({r["doc_id"]: (r["score"], r["base_score"]) for r in rows})
+    assert all(got[0][i] == pytest.approx(got[1][i], rel=1e-5) for i in range(300))
 
 
 # 6
