@@ -28,6 +28,8 @@ ALPHA = 0.5
 BLOCK = 1 << 18  # characters that are hashed at once
 #: Languages whose matrix (256 KB each) is broadcast at once; more are gone through in blocks.
 LANG_BLOCK = 256
+#: Languages (some 30 bytes each) whose counts are broadcast; more are joined.
+BROADCAST_LANGS = 100_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 _MULT = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
@@ -100,9 +102,10 @@ def fit(docs: DataFrame, *, rows_per_lang: int = TRAIN_ROWS_PER_LANG, key: str =
     Rows with a null ``text`` or ``lang`` teach nothing. No usable row: no block.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(key, "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))  # some languages
+    sizes = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of")), "lang_sizes")
+    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(sizes, "lang").where(draw < rows_per_lang / F.col("of"))
+    sample = rows.join(few, "lang").where(draw < rows_per_lang / F.col("of"))
     counts = sample.select("lang", "text").mapInPandas(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     vectors = staged(counts.groupBy("lang").applyInPandas(_vector, "lang string, logp binary"), "lang_vectors")  # BUCKETS rows a group at most
     langs = sorted(r["lang"] for r in vectors.select("lang").collect())
@@ -111,7 +114,7 @@ def fit(docs: DataFrame, *, rows_per_lang: int = TRAIN_ROWS_PER_LANG, key: str =
         part = langs[at : at + LANG_BLOCK]
         found = {r["lang"]: np.frombuffer(r["logp"], dtype="<f4") for r in vectors.where(F.col("lang").isin(part)).collect()}
         model.append((part, np.stack([found[x] for x in part], axis=1)))
-    discard(vectors)
+    discard(vectors, sizes)
     return model
 
 
