@@ -1,7 +1,10 @@
-"""Column functions on text: all of them built-in expressions."""
+"""Column functions on text: all but ``html_text_exact`` are built-in expressions."""
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,3 +87,39 @@ def table_row(cells: Column) -> Column:
 def node_id(prefix: str, name: Column) -> Column:
     safe = F.regexp_replace(name, "[^A-Za-z0-9_]", "_")
     return F.concat(F.lit(f"{prefix}_"), F.when(safe == "", "x").otherwise(safe))
+
+
+def first_bytes(content: Column, size: int) -> Column:
+    """The first ``size`` bytes of a binary as text, without a character that they cut."""
+    return F.regexp_replace(F.make_valid_utf8(F.substring(content, 1, size).cast("string")), "\ufffd+$", "")
+
+
+class _Pieces(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.pieces: list[str] = []
+
+    def handle_data(self, data: str) -> None:
+        if piece := data.strip():
+            self.pieces.append(piece)
+
+
+def _html_pieces(html: str | None) -> str | None:
+    if html is None:
+        return None
+    parser = _Pieces()
+    try:
+        parser.feed(html)
+        parser.close()
+    except (AssertionError, ValueError):
+        pass  # what came before a declaration that can't be read stays
+    return "\n".join(parser.pieces)
+
+
+def _html_pieces_of(xs: pd.Series) -> pd.Series:
+    return xs.map(_html_pieces)
+
+
+def html_text_exact(html: Column) -> Column:
+    """As ``html_text``, by a parser: entities are decoded, comments and quoted > are seen. It runs in Python, in Arrow batches."""
+    return F.pandas_udf(_html_pieces_of, "string")(html)

@@ -25,15 +25,20 @@ def from_text(files: DataFrame) -> DataFrame:
 
 
 def from_vtt(files: DataFrame) -> DataFrame:
-    """The same of WebVTT: cues are blocks between blank lines; notes and numbers go, a cue's lines are joined by blanks."""
-    parts = files.select("file", F.posexplode(F.split("value", r"(?:\r?\n){2,}")).alias("seq", "part"))
-    lines = parts.withColumn("lines", F.transform(F.split("part", r"\r?\n"), F.trim))
-    timed = F.filter("lines", lambda x: x.rlike(CUE))
-    lines = lines.where((F.size(timed) > 0) & ~F.col("part").startswith("NOTE"))
-    at = F.array_position(F.transform("lines", lambda x: x.rlike(CUE)), True).cast("int")
-    rest = F.array_join(F.filter(F.slice(F.col("lines"), at + 1, F.greatest(F.size("lines") - at, F.lit(0))), lambda x: x != ""), " ")
-    lines = lines.select("file", "seq", F.regexp_extract(timed[0], CUE, 1).alias("ts"), rest.alias("rest")).where("rest <> ''")
-    return _spoken(lines, "rest").select("file", "seq", "ts", "speaker", "text")
+    """The same of WebVTT. A segment begins at each cue line and ends at the next one or at a blank line; what
+    stands before the header or outside of cues goes, and so do notes; a segment's lines are joined by blanks."""
+    lines = F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x))
+    start = F.array_position(F.transform(lines, lambda x: x.startswith("WEBVTT")), True).cast("int")
+    lines = F.when(start > 0, F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0)))).otherwise(F.expr("cast(array() as array<string>)"))
+    rows = files.select("file", F.posexplode(lines).alias("seq", "line")).where(~F.col("line").startswith("NOTE"))
+    own = Window.partitionBy("file").orderBy("seq")  # one file's lines
+    cue = F.regexp_extract("line", CUE, 1)
+    rows = rows.withColumns({"cue": F.when(cue != "", cue), "blank": F.col("line") == ""})
+    rows = rows.withColumn("part", F.sum((F.col("cue").isNotNull() | F.col("blank")).cast("int")).over(own))
+    text = F.when(F.col("cue").isNull() & ~F.col("blank"), F.struct("seq", "line"))
+    each = rows.groupBy("file", "part").agg(F.min("seq").alias("seq"), F.max("cue").alias("ts"), F.array_sort(F.collect_list(text)).alias("xs"))
+    each = each.withColumn("rest", F.array_join(F.transform("xs", lambda x: x["line"]), " ")).where("rest <> '' and ts is not null")
+    return _spoken(each, "rest").select("file", "seq", "ts", "speaker", "text")
 
 
 def assemble(segments: DataFrame, by: str = "file") -> DataFrame:
