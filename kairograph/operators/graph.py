@@ -20,8 +20,11 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
 
 
 def resolve(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations ``source_key, target_key, ...`` whose ends are both among the entities ``key, uuid``."""
-    ends = entities.groupBy("key").agg(F.max("uuid").alias("uuid"))
+    """Relations ``source_key, target_key, ...`` whose ends are both among the entities ``key, uuid``.
+
+    Of entities that share a key the last one counts, by ``pos`` if there is such a column, else by uuid.
+    """
+    ends = entities.groupBy("key").agg(F.max_by("uuid", "pos" if "pos" in entities.columns else "uuid").alias("uuid"))
     source = ends.select(F.col("key").alias("source_key"), F.col("uuid").alias("source_uuid"))
     target = ends.select(F.col("key").alias("target_key"), F.col("uuid").alias("target_uuid"))
     return relations.join(source, "source_key").join(target, "target_key")
@@ -48,14 +51,15 @@ def as_of(facts: DataFrame, when, at: str = "valid_at", *, strict_expired: bool
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """``node, depth``: nodes within ``depth`` steps of the seeds over undirected ``a, b``, at their least depth.
 
-    Each step joins the frontier with the edges and drops what is known: the
-    plan has ``depth`` joins and never holds paths.
+    Each step carries the least depth of every node reached on to its
+    neighbours and combines it with what was known: the plan grows by one join a step and
+    never holds paths.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     known = seeds.select("node", F.lit(0).alias("depth")).distinct()
-    frontier = known
-    for d in range(1, depth + 1):
-        step = both.join(frontier, both["a"] == frontier["node"]).select(F.col("b").alias("node")).distinct()
-        frontier = step.join(known, "node", "left_anti").withColumn("depth", F.lit(d))
-        known = known.unionByName(frontier)
+    for _ in range(depth):
+        # a row for the node itself and one for each neighbour, from one pass over ``known``
+        reach = known.join(both, known["node"] == both["a"], "left").select("node", "depth", F.col("b"))
+        steps = F.array(F.struct("node", "depth"), F.struct(F.col("b").alias("node"), (F.col("depth") + 1).alias("depth")))
+        known = reach.select(F.inline(steps)).where("node is not null").groupBy("node").agg(F.min("depth").alias("depth"))
     return known

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ RRF_K = 60
 RETRIEVED, RERANKED = 20, 8
 #: Query vectors that are broadcast at once.
 QUERY_BLOCK = 4096
+#: Questions whose terms are broadcast at once.
+QUESTION_BLOCK = 2048
 
 # Phase names in questions and the dates they stand for.
 PHASES = (
@@ -40,63 +43,173 @@ def top(scored: DataFrame, by: str, item: str, n: int, score: str = "score") ->
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def bm25(docs: DataFrame, questions: DataFrame, n: int = RETRIEVED) -> DataFrame:
+def term_weights(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``term, idf, avgdl`` of the vocabulary's terms that some document has; a document counts once for a term before anything moves."""
+    bag = docs.select(terms(F.col("text")).alias("w"))
+    size = bag.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("avgdl"))
+    df = bag.select(F.explode(F.array_distinct("w")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return df.join(F.broadcast(size)).select("term", idf.alias("idf"), "avgdl")  # size has one row
+
+
+def bm25(docs: DataFrame, questions: DataFrame, n: int = RETRIEVED, *, lower: str | None = None, upper: str | None = None, at: str | None = None) -> DataFrame:
     """``item_id, doc_id, score, rank`` of the best documents per question.
 
-    Only postings of terms that some question holds leave the scan's stage.
+    Questions go in blocks of QUESTION_BLOCK, whose terms and weights are broadcast (a block's questions
+    hold some thousand terms). Each task scores its documents against a whole block, as a sparse
+    product, and keeps n per question, so that no pair of document and question is shuffled.
+    ``at`` names a question's number that has to be in a document's [``lower``, ``upper``), null being open.
     """
-    bag = docs.select("doc_id", terms(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    asked = questions.select("item_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    size = bag.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
-    vocabulary = asked.select("term").distinct()
-    tf = bag.select("doc_id", "dl", F.explode("w").alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = df.join(F.broadcast(size)).select("term", "avgdl", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # size has one row
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(weights, "term").select("doc_id", "term", part.alias("part")).join(asked, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top(scored, "item_id", "doc_id", n)
-
-
-def cosine_search(vectors: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
-    """``query_id, vec_id, score, rank``: the nearest other vectors of each query vector, exactly.
-
-    Queries go in blocks of QUERY_BLOCK vectors, each a matrix that is
-    broadcast; tasks multiply their batches with it and keep n per query.
+    spark = docs.sparkSession
+    bounds = [F.col(c).cast("double").alias(k) if c else F.lit(None).cast("double").alias(k) for k, c in (("low", lower), ("high", upper))]
+    moment = F.col(at).cast("double") if at else F.lit(None).cast("double")
+    asked = questions.select("item_id", moment.alias("at"), F.array_distinct(terms(F.col("text"))).alias("w"))
+    blocks = max(1, -(-questions.count() // QUESTION_BLOCK))
+    vocabulary = asked.select(F.explode("w").alias("term")).distinct()
+    weights = term_weights(docs, vocabulary).persist()
+    rows = docs.select("doc_id", *bounds, terms(F.col("text")).alias("w"))
+    found = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        own = weights.join(part.select(F.explode("w").alias("term")).distinct(), "term", "left_semi").collect()
+        items = part.collect()
+        number = {r["term"]: i for i, r in enumerate(own)}
+        pairs = [(number[t], q) for q, r in enumerate(items) for t in r["w"] if t in number]
+        pairs.sort()
+        shared = spark.sparkContext.broadcast((
+            number, np.array([r["idf"] for r in own]), own[0]["avgdl"] if own else 1.0, np.array([t for t, _ in pairs], dtype=np.int64), np.array([q for _, q in pairs], dtype=np.int64),
+            [r["item_id"] for r in items], np.array([np.nan if r["at"] is None else r["at"] for r in items], dtype=np.float64)))
+        scored = rows.mapInPandas(_scored(shared, n), f"item_id {dict(questions.dtypes)['item_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score double")
+        found = scored if found is None else found.unionByName(scored)
+    weights.unpersist()
+    return top(found, "item_id", "doc_id", n)
+
+
+def _scored(shared, n: int):
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, idf, avgdl, terms_, asked, items, at = shared.value
+        first = np.searchsorted(terms_, np.arange(len(idf) + 1))
+        for whole in batches:
+            for start in range(0, len(whole), 512):
+                batch = whole.iloc[start : start + 512]
+                row, term, length = [], [], np.array([len(w) for w in batch["w"]], dtype=np.float64)
+                for i, w in enumerate(batch["w"]):
+                    here = [k for x in w if (k := number.get(x)) is not None]
+                    row.append(np.full(len(here), i))
+                    term.append(np.array(here, dtype=np.int64))
+                code, tf = np.unique(np.concatenate(row) * max(1, len(idf)) + np.concatenate(term), return_counts=True)
+                i, t = np.divmod(code, max(1, len(idf)))
+                part = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[i] / avgdl)) if len(code) else np.zeros(0)
+                many = first[t + 1] - first[t]
+                at_q = asked[np.repeat(first[t], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                total = np.bincount(np.repeat(i, many) * len(items) + at_q, weights=np.repeat(part, many), minlength=len(batch) * len(items)).reshape(len(batch), len(items)) if len(items) else np.zeros((len(batch), 0))
+                total = np.where(total > 0, np.round(total, 6), -np.inf)
+                total[_outside(batch, at)] = -np.inf
+                yield _best(total, np.array(items), batch["doc_id"].to_numpy(), n, "item_id", "doc_id")
+
+    return score
+
+
+def _outside(batch: pd.DataFrame, at: np.ndarray) -> np.ndarray:
+    """Pairs of rows and questions whose moment is outside of the row's [low, high); nulls are open."""
+    low, high = (batch[c].to_numpy(dtype=np.float64)[:, None] for c in ("low", "high"))
+    return (at[None, :] < low) | (at[None, :] >= high)
+
+
+def _best(score: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, column: str, row: str) -> pd.DataFrame:
+    """The n best finite scores of each column, ties by row."""
+    order = np.lexsort((np.broadcast_to(rows[:, None], score.shape), -score), axis=0)[:n]
+    at = np.broadcast_to(np.arange(score.shape[1]), order.shape)
+    keep = np.isfinite(score[order, at])
+    return pd.DataFrame({column: columns[at[keep]], row: rows[order[keep]], "score": score[order, at][keep]})
+
+
+def cosine_search(vectors: DataFrame, queries: DataFrame, n: int = 10, *, own: bool = False, lower: str | None = None, upper: str | None = None, at: str | None = None) -> DataFrame:
+    """``query_id, vec_id, score, rank``: the nearest vectors of each query vector, exactly; its own number only if ``own``.
+
+    Vectors that are null, zero, have a null or non-finite component, or another
+    length than the query's, are not compared, on either side. Queries go in blocks of QUERY_BLOCK vectors of a length, each a
+    matrix that is broadcast; tasks multiply their batches with it and keep n per query. ``at``, ``lower``, ``upper``: as in ``bm25``.
     """
     spark = vectors.sparkSession
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    v = F.col("embedding").cast("array<double>")
+    fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    moment = F.col(at).cast("double") if at else F.lit(None).cast("double")
+    asked = queries.where(fine).select("vec_id", "embedding", moment.alias("at"), F.size("embedding").alias("dim")).persist()
+    bounds = [F.col(c).cast("double").alias(k) if c else F.lit(None).cast("double").alias(k) for k, c in (("low", lower), ("high", upper))]
+    rows = vectors.where(fine).select("vec_id", "embedding", *bounds)
     found = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "embedding").collect()
-        if not rows:
-            continue
-        q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows]), q / np.linalg.norm(q, axis=1)[:, None]))
-        part = vectors.select("vec_id", "embedding").where(F.col("embedding").isNotNull()).mapInPandas(_nearest(shared, n), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
+    for dim, count in asked.groupBy("dim").count().collect():  # few lengths
+        blocks = -(-count // QUERY_BLOCK)
+        for b in range(blocks):
+            part = asked.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).collect()
+            if not part:
+                continue
+            q = np.array([r["embedding"] for r in part], dtype=np.float64)
+            shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in part]), q / np.linalg.norm(q, axis=1)[:, None], np.array([np.nan if r["at"] is None else r["at"] for r in part])))
+            near = rows.where(F.size("embedding") == dim).mapInPandas(_nearest(shared, n, own), "query_id long, vec_id long, score double")
+            found = near if found is None else found.unionByName(near)
+    asked.unpersist()
     if found is None:
         return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     return top(found, "query_id", "vec_id", n)
 
 
-def _nearest(shared, n: int):
+def _nearest(shared, n: int, own: bool):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
+        ids, q, at = shared.value
         for batch in batches:
+            if not len(batch):
+                continue
             v = np.stack(batch["embedding"].tolist()).astype(np.float64)
             vec = batch["vec_id"].to_numpy()
-            with np.errstate(invalid="ignore"):
-                score = np.round((v / np.linalg.norm(v, axis=1)[:, None]) @ q.T, 6)
-            score[vec[:, None] == ids[None, :]] = -np.inf
-            score[np.isnan(score)] = -np.inf
-            order = np.lexsort((np.broadcast_to(vec[:, None], score.shape), -score), axis=0)[:n]
-            col = np.broadcast_to(np.arange(len(ids)), order.shape)
-            keep = np.isfinite(score[order, col])
-            yield pd.DataFrame({"query_id": ids[col[keep]], "vec_id": vec[order[keep]], "score": score[order, col][keep]})
+            score = np.round((v / np.linalg.norm(v, axis=1)[:, None]) @ q.T, 6)
+            if not own:
+                score[vec[:, None] == ids[None, :]] = -np.inf
+            score[_outside(batch, at)] = -np.inf
+            yield _best(score, ids, vec, n, "query_id", "vec_id")
 
     return search
 
 
+DIMENSIONS = 256
+
+
+def _hashed(words: pd.Series) -> pd.Series:
+    def one(xs) -> np.ndarray:
+        return np.bincount([hashlib.md5(x.encode()).digest()[0] for x in xs], minlength=DIMENSIONS).astype(np.float32)
+
+    return words.map(one)
+
+
+def hashed_embedding(text: Column) -> Column:
+    """The embedding used where no model is configured: counts of a text's terms by the first byte of their MD5."""
+    return F.pandas_udf(_hashed, "array<float>")(terms(text))
+
+
+def hybrid(facts: DataFrame, questions: DataFrame, n: int = RETRIEVED, *, embed=hashed_embedding, seeds: int = 3) -> DataFrame:
+    """``item_id, doc_id, score, rank``: keyword, vector and graph legs over the facts that hold at each question's date, fused.
+
+    Facts are ``doc_id, text, valid_at, expired_at, node`` and questions ``item_id, text, as_of`` (null: any time). A
+    fact holds in [valid_at, expired_at), open where null. The graph leg has the facts that share a node
+    with one of the ``seeds`` best keyword hits, by the hit's rank and then by number.
+    """
+    second = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")).cast("double")
+    own = facts.select("doc_id", "text", "node", second("valid_at").alias("low"), second("expired_at").alias("high"))
+    asked = questions.select("item_id", "text", second("as_of").alias("at"))
+    bounds = {"lower": "low", "upper": "high", "at": "at"}
+    words = bm25(own, asked, n, **bounds)
+    near = cosine_search(
+        own.select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding"), "low", "high"),
+        asked.select(F.col("item_id").alias("vec_id"), embed(F.col("text")).alias("embedding"), "at"), n, own=True, **bounds,
+    )
+    best = words.where(F.col("rank") <= seeds).join(own.select("doc_id", "node"), "doc_id").groupBy("item_id", "node").agg(F.min("rank").alias("seed"))
+    linked = best.join(own.select("doc_id", "node", "low", "high"), "node").join(asked.select("item_id", "at"), "item_id")
+    holds = (F.col("at").isNull() | ((F.col("low").isNull() | (F.col("low") <= F.col("at"))) & (F.col("high").isNull() | (F.col("high") > F.col("at")))))
+    graph = top(linked.where(holds).select("item_id", "doc_id", (-F.col("seed")).alias("score")), "item_id", "doc_id", n)
+    return fuse([words, near.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank"), graph], "item_id", "doc_id", n)
+
+
 def fuse(legs: list[DataFrame], by: str, item: str, n: int = RETRIEVED) -> DataFrame:
     """Reciprocal rank fusion of legs ``by, item, rank``."""
     union = legs[0].select(by, item, "rank")

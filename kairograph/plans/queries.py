@@ -186,6 +186,39 @@ def cosine_topk(spark, sf_dir):
     return retrieval.cosine_search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+_HYBRID = f"""q AS (SELECT item_id, text, CASE item_id % 4 WHEN 0 THEN NULL WHEN 1 THEN DATE '2023-06-01' WHEN 2 THEN DATE '2023-12-01' ELSE DATE '2024-06-01' END AS as_of FROM benchmark),
+f AS (SELECT conv_id * 1000 + turn AS doc_id, text, DATE '2023-01-01' + (conv_id % 500)::INTEGER AS valid_at, CASE WHEN turn % 3 > 0 THEN DATE '2023-01-01' + (conv_id % 500 + 200)::INTEGER END AS expired_at, role || (conv_id % 97) AS node FROM conversations),
+ft AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM f),
+qt AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM q),
+ok AS (SELECT item_id, doc_id FROM q, f WHERE as_of IS NULL OR (valid_at <= as_of AND (expired_at IS NULL OR expired_at > as_of))),
+asked AS (SELECT DISTINCT item_id, unnest(w) AS term FROM qt),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM ft) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+st AS (SELECT count(*) AS docs, avg(len(w)) AS avgdl FROM ft),
+wt AS (SELECT term, avgdl, ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), st),
+sc AS (SELECT item_id, doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM tf JOIN wt USING (term) JOIN asked USING (term) JOIN ok USING (item_id, doc_id) GROUP BY 1, 2),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 20),
+fe AS (SELECT doc_id, list_transform(range(256), lambda b: len(list_filter(w, lambda x: ('0x' || substr(md5(x), 1, 2))::INTEGER = b))::DOUBLE) AS v FROM ft WHERE len(w) > 0),
+qe AS (SELECT item_id, list_transform(range(256), lambda b: len(list_filter(w, lambda x: ('0x' || substr(md5(x), 1, 2))::INTEGER = b))::DOUBLE) AS v FROM qt WHERE len(w) > 0),
+vs AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(qe.v, fe.v), 6) DESC, doc_id) AS rank FROM qe JOIN ok USING (item_id) JOIN fe USING (doc_id)) WHERE rank <= 20),
+bs AS (SELECT item_id, node, min(rank) AS seed FROM bm JOIN f USING (doc_id) WHERE rank <= 3 GROUP BY 1, 2),
+gr AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY seed, doc_id) AS rank FROM bs JOIN f USING (node) JOIN ok USING (item_id, doc_id)) WHERE rank <= 20),
+u AS (SELECT item_id, doc_id, rank FROM bm UNION ALL SELECT item_id, doc_id, rank FROM vs UNION ALL SELECT item_id, doc_id, rank FROM gr),
+fu AS (SELECT item_id, doc_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_HYBRID} SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM fu) WHERE rank <= 20""")
+def hybrid_topk(spark, sf_dir):
+    """Turns of conversations as facts that hold for a time, asked by the benchmark's items, some at a date."""
+    day = lambda n: F.date_add(F.lit("2023-01-01").cast("date"), n.cast("int"))
+    born = F.col("conv_id") % 500
+    facts = _t(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", day(born).alias("valid_at"), F.when(F.col("turn") % 3 > 0, day(born + 200)).alias("expired_at"),
+        F.concat("role", F.col("conv_id") % 97).alias("node"),
+    )
+    at = F.when(F.col("item_id") % 4 == 1, "2023-06-01").when(F.col("item_id") % 4 == 2, "2023-12-01").when(F.col("item_id") % 4 == 3, "2024-06-01").cast("date")
+    return retrieval.hybrid(facts, _t(spark, sf_dir, "benchmark").select("item_id", "text", at.alias("as_of")))
+
+
 _FRESH = "fr AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars, doc_id) AS rank FROM bm JOIN documents USING (doc_id)))"
 
 
@@ -316,9 +349,11 @@ def code_event_flow(spark, sf_dir):
     return code.event_flow(_relations(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_SENT}, r AS (SELECT n_name, 'c_' || regexp_replace(n_name, '[^A-Za-z0-9_]', '_', 'g') AS c, 'e_' || regexp_replace(p_brand || 'Event', '[^A-Za-z0-9_]', '_', 'g') AS e, p_brand || 'Event' AS t, CASE WHEN n_nationkey < 12 THEN 'publie' ELSE 'consomme' END AS kind FROM s)
+SELECT n_name AS system, 'flowchart LR' || chr(10) || '  ' || min(c) || '["' || n_name || '"]' || chr(10) || string_agg('  ' || e || '{{{{"' || t || '"}}}}', chr(10) ORDER BY t) || chr(10) || string_agg('  ' || c || ' -->|' || kind || '| ' || e, chr(10) ORDER BY t) AS diagram FROM r GROUP BY n_name""")
 def mermaid_system(spark, sf_dir):
-    return code.mermaid(_relations(spark, sf_dir).withColumn("system", F.lit("all")))
+    """A diagram for each nation."""
+    return code.mermaid(_relations(spark, sf_dir).withColumn("system", F.col("source_component")))
 
 
 # --- streams and relational coverage --------------------------------------

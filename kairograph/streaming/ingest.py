@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.operators import ledger
+from kairograph.operators import writer
 
 
 def tumbling(events: DataFrame, every: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -21,14 +21,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ingest(docs: DataFrame, documents_path: str, ledger_path: str, checkpoint: str):
-    """Append unseen documents of a stream to a Parquet table; the ledger is written last, so that a batch that failed is done again."""
+def ingest(docs: DataFrame, root: str, checkpoint: str, *, name: str = "stream", **options):
+    """Ingests a stream of normalised documents batch by batch below ``root``; a batch that failed is done again in its own partition."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark: SparkSession = df.sparkSession
-        seen = spark.read.schema("episode_key string, content_hash string, ingested_at timestamp").parquet(ledger_path)
-        new = ledger.not_ingested(ledger.with_keys(df).dropDuplicates(["episode_key", "content_hash"]), seen)
-        new.write.mode("append").parquet(documents_path)
-        ledger.with_keys(df).select("episode_key", "content_hash").distinct().withColumn("ingested_at", F.current_timestamp()).write.mode("append").parquet(ledger_path)
+        writer.ingest(df, root, f"{name}-{number}", **options)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kairograph.functions import text as T
 from kairograph.operators import code, context, graph, ledger, render, retrieval
-from kairograph.sources import binary, records, transcripts
+from kairograph.sources import records, transcripts
 
 
 def one(spark, column):
@@ -93,12 +93,6 @@ def test_transcripts(spark):
     assert [(r["ts"], r["speaker"], r["text"]) for r in rows] == [("00:00:01.000", "Bob Roy", "un deux"), ("00:00:03.000", None, "trois")]
 
 
-def test_drawio():
-    xml = b'<mxfile><diagram name="P"><mxGraphModel><root><mxCell id="1" vertex="1" value="A&lt;b&gt;x"/><mxCell id="2" vertex="1" value="B"/><mxCell id="3" edge="1" source="1" target="2" value="va"/><mxCell id="4" edge="1" source="1" target="9"/></root></mxGraphModel></diagram></mxfile>'
-    assert binary.drawio(xml) == [("P", "# P\n- A x\n- B\nA x --va--> B")]
-    assert binary.drawio(b"<no") == []
-
-
 def test_python_relations(spark):
     source = "class Meter:\n    bus: EventBus\n    def run(self):\n        self.bus.publish(ReadingCompletedEvent(1))\n        self.bus.subscribe(AlertEvent)\n@x\nclass Hidden:\n    pass\n"
     files = spark.createDataFrame([("src/meter.py", bytearray(source.encode())), ("bad.py", bytearray(b"def ("))], "path string, content binary")
@@ -117,7 +111,9 @@ def test_answers(spark):
     raw = spark.createDataFrame([('```json\n{"resume": "r", "facts": ["f"], "sources": ["Doc — https://a.b/c."]}\n```',), ("{bad",), ('{"facts": []}',)], "raw string")
     rows = render.answers(raw).withColumn("md", render.answer_markdown(F.lit("q"), F.col("answer"))).collect()
     assert rows[1]["answer"] is None and rows[2]["answer"] is None
-    assert "- [Doc](https://a.b/c)" in rows[0]["md"] and "## Faits\n\n- f" in rows[0]["md"]
+    assert rows[0]["md"] == "# q\n\n## Résumé\nr\n\n## Faits\n- f\n\n## Sources\n- [Doc](https://a.b/c)"
+    bare = raw.limit(1).select(F.struct(F.lit("r").alias("resume"), *[F.expr("cast(array() as array<string>)").alias(c) for c in ("facts", "decisions", "actions", "risks", "sources")]).alias("a"))
+    assert bare.select(render.answer_markdown(F.lit(" q\n"), F.col("a"))).first()[0] == "# q\n\n## Résumé\nr\n\n## Sources\n_Aucune source._"
 
 
 def test_routing(spark):
