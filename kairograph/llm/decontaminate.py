@@ -3,17 +3,18 @@
 (Chakraborty, Goldenberg & Koucky, 2016; Zhang & Zhang, 2017.) The CGK walk
 reads words with a pointer that, after each step, stays or advances by a
 random bit of step and word, so that texts of small edit distance get outputs
-of small Hamming distance. A table of the LSH keeps a sample of the output's
-places. Every place of every item and every place of every document starts a
-walk; equal samples in any of REPEATS tables propose that an item-sized
-window of the document, placed so that the two walks' starts meet, holds the
-item. A window with too few words of the item can't match; the others are
-aligned with it, and the exact edit distance in words decides.
-
-An item of m words is found where some stretch of the document is within
-floor(m / 5) word edits of it (similarity 0.8). Such a stretch shares at least
-four or so words in a row with the item, and every walk that starts there and
-stays inside collides: recall is measured in the tests.
+of small Hamming distance. A table of the LSH has a walk of its own and keeps
+a random sample of the output's places; equal samples in any table propose that a
+window of the document holds the item. The window is aligned with the item,
+and the exact edit distance in words decides.
+
+Items fall into classes of like size. A document's windows of a class' size start at every
+place; those with fewer words of the class' items than any match needs are left
+out first. The walk is as long as the smallest item of the class needs, and a walk ends as
+soon as no item of its table has the sample so far. An item of m words is
+found where some stretch of the document is within
+floor(m / 5) word edits of it (similarity 0.8). The number of tables of each class follows from RECALL:
+copies of its items with as many edits as are allowed show how often a table finds one.
 """
 
 from __future__ import annotations
@@ -30,48 +31,132 @@ from pyspark.sql import functions as F
 from ._shared import word_blocks
 
 SIMILARITY = 0.8
-REPEATS = 6
-#: Steps of the walk whose output is sampled.
-SAMPLE = (0, 2, 4, 6)
-#: Items of fewer words are proposed wherever one of their words stands.
-SHORT = 2 * SAMPLE[-1]
-#: Items whose tables are broadcast at once; more items are gone through in blocks.
-ITEM_BLOCK = 20_000
+#: Least share of copies with all the edits allowed that the tables have to propose, and the most tables for it.
+RECALL, MOST_TABLES = 0.97, 512
+#: Places of a walk's output in a sample.
+SAMPLE = 3
+#: Sizes of the items in a class differ by this factor at most.
+SPREAD = 1.2
+#: Edited copies of a class' items from which its number of tables follows, and tables that are tried on them at a time.
+COPIES, TRIED = 256, 16
+#: Bytes of items whose index is broadcast at once; more items are gone through in blocks.
+ITEM_BYTES = 4 << 20
 #: Words of documents that are embedded at once.
-WORDS_AT_ONCE = 1 << 18
-_GAP = 8  # foreign words between documents, more than a walk can cross
+WORDS_AT_ONCE = 1 << 19
+_GAP = 8  # foreign words between documents
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 MATCH = "array<struct<item_id: long, start: int, end: int, edits: int, words: int>>"
 
 
+def allowed(m):
+    """Word edits that an item of m words may differ by."""
+    return np.floor(np.asarray(m) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+
+
+@dataclass
+class Class:
+    """Tables of the items of like size: walks, samples, and the samples' prefixes that items have."""
+
+    sizes: tuple[int, int]
+    known: np.ndarray  # whether a word is in one of the items
+    steps: np.ndarray  # (tables, SAMPLE), ascending
+    turns: np.ndarray  # (tables, steps of the walk): odd numbers that decide whether to advance
+    prefixes: list[np.ndarray]  # sorted, for each length
+    keys: np.ndarray  # sorted whole samples
+    owner: np.ndarray
+
+
 @dataclass
 class Items:
-    """Vocabulary, words and sampled outputs of a block of items."""
+    """Vocabulary and words of a block of items, and the classes of their sizes."""
 
     ids: list[int | None]
     words: list[np.ndarray]
     number: dict[bytes, int]
-    bits: np.ndarray  # (REPEATS, steps, vocabulary + 1)
-    keys: list[np.ndarray]  # sorted, per table
-    owner: list[np.ndarray]
-    offset: list[np.ndarray]
-    member: np.ndarray  # (items, vocabulary + 1)
-
-
-def sampled(ids: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts whose samples are all known words, the samples as one number, and how far each walk went."""
-    starts = starts[ids[starts] > 0]
-    at, key = starts.copy(), np.zeros(len(starts), dtype=np.uint64)
-    for step in range(SAMPLE[-1] + 1):
-        word = ids[at]
-        if step in SAMPLE:
-            known = word > 0
-            if not known.all():
-                starts, at, key, word = starts[known], at[known], key[known], word[known]
-            key = key * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)
-        if step < SAMPLE[-1]:
-            at = at + bits[step][word]
-    return starts, key, at - starts
+    names: np.ndarray  # a random number for each word
+    classes: list[Class]
+
+
+def walk(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: np.ndarray, steps: np.ndarray, turns: np.ndarray, prefixes: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Starts a walk at each of ``starts`` in each table: those left (number of the start), their whole samples, and the samples' prefixes.
+
+    With ``prefixes`` a walk ends where its sample so far is none of them. Beyond ``ends`` a walk reads one word that no text has.
+    """
+    tables = len(steps)
+    table, which = np.repeat(np.arange(tables), len(starts)), np.tile(np.arange(len(starts)), tables)
+    at, key, taken = starts[which], _ODD * (table.astype(np.uint64) + np.uint64(1)), np.zeros(len(which), dtype=np.int64)
+    out: list[list[np.ndarray]] = [[] for _ in range(steps.shape[1])]
+    done, samples = [], []
+    for step in range(int(steps.max(initial=-1)) + 1):
+        name = np.where(at < ends[which], names[ids[np.minimum(at, len(ids) - 1)]], np.uint64(1))
+        now = np.flatnonzero(steps[table, taken] == step)
+        if len(now):
+            key[now] = (key[now] ^ name[now]) * _ODD
+            key[now] ^= key[now] >> np.uint64(29)
+            live = np.ones(len(at), dtype=bool)
+            for length in range(steps.shape[1]):
+                here = now[taken[now] == length]
+                out[length].append(key[here])
+                if prefixes is not None and len(here):
+                    k = np.searchsorted(prefixes[length], key[here]).clip(max=len(prefixes[length]) - 1)
+                    live[here[prefixes[length][k] != key[here]]] = False
+            taken[now] += 1
+            whole = live & (taken == steps.shape[1])
+            done.append(which[whole])
+            samples.append(key[whole])
+            live &= ~whole
+            table, which, at, key, taken, name = (x[live] for x in (table, which, at, key, taken, name))
+        if not len(at):
+            break
+        at = at + (name * turns[table, step] >> np.uint64(63)).astype(np.int64)
+    join = lambda xs, kind: np.concatenate([*xs, np.zeros(0, dtype=kind)])
+    return join(done, np.int64), join(samples, np.uint64), [join(x, np.uint64) for x in out]
+
+
+def edited(words: np.ndarray, edits: int, draw: np.random.Generator, other: int) -> np.ndarray:
+    """A copy with that many words replaced (by ``other``), left out or put in at random places."""
+    out = words.tolist()
+    for _ in range(edits):
+        i, kind = int(draw.integers(len(out))), int(draw.integers(3))
+        if kind == 0 or len(out) == 1:
+            out[i] = other
+        elif kind == 1:
+            del out[i]
+        else:
+            out.insert(i, other)
+    return np.array(out, dtype=np.int64)
+
+
+def _laid(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after another: their words, starts and ends."""
+    ends = np.cumsum([len(w) for w in words])
+    return np.concatenate(words), ends - [len(w) for w in words], ends
+
+
+def _tables(own: list[np.ndarray], names: np.ndarray, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Samples and turns of as many tables as RECALL asks for, tried on edited copies of the items."""
+    least = min(map(len, own))
+    length = max(1, -(-3 * least // 2))
+    z = min(SAMPLE, length)
+    copies, source = [], []
+    for i in draw.integers(len(own), size=COPIES if allowed(max(map(len, own))) else 0):
+        copies.append(edited(own[i], int(allowed(len(own[i]))), draw, len(names) - 1))
+        source.append(int(i))
+    steps, turns, missed = [], [], np.ones(len(copies), dtype=bool)
+    while not steps or (missed.sum() > (1 - RECALL) * len(copies) and len(steps) * TRIED < MOST_TABLES):
+        # the first place early in the walk, so that most walks end soon; the others anywhere behind
+        first = draw.integers(max(1, length // 8), size=TRIED)
+        steps.append(np.array([sorted([f, *(f + 1 + draw.choice(length - f - 1, z - 1, replace=False))]) if z > 1 else [f] for f in first.tolist()]))
+        turns.append(draw.integers(1 << 63, size=(TRIED, length), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        if copies:
+            ids, starts, ends = _laid([own[i] for i in source])
+            a, key_a, _ = walk(ids, starts, ends, names, steps[-1], turns[-1])
+            ids, starts, ends = _laid(copies)
+            b, key_b, _ = walk(ids, starts, ends, names, steps[-1], turns[-1])
+            both = np.intersect1d(a.astype(np.uint64) * _ODD ^ key_a, b.astype(np.uint64) * _ODD ^ key_b)
+            missed[b[np.isin(b.astype(np.uint64) * _ODD ^ key_b, both)]] = False
+    return np.concatenate(steps), np.concatenate(turns)
 
 
 def index_items(rows: list[tuple[int | None, str | None]]) -> Items:
@@ -83,28 +168,22 @@ def index_items(rows: list[tuple[int | None, str | None]]) -> Items:
         if w:
             ids.append(item)
             words.append(np.array([number.setdefault(x, len(number) + 1) for x in w], dtype=np.int64))
-    bits = np.random.default_rng(5).integers(0, 2, (REPEATS, SAMPLE[-1] + 1, len(number) + 1)).astype(np.int64)
-    gap = np.zeros(_GAP, dtype=np.int64)
-    flat = np.concatenate([x for w in words for x in (w, gap)]) if words else gap
-    begin = np.cumsum([0, *[len(w) + _GAP for w in words]])[:-1]
-    keys, owner, offset = [], [], []
-    for r in range(REPEATS):
-        starts, key, far = sampled(flat, np.arange(len(flat) - _GAP), bits[r])
-        item = np.searchsorted(begin, starts, side="right") - 1
-        use = far >= 2  # a walk that hardly moved has a sample of one or two words: other tables have better ones at that place
-        order = np.argsort(key[use], kind="stable")
-        keys.append(key[use][order])
-        owner.append(item[use][order])
-        offset.append((starts - begin[item])[use][order] if words else starts)
-    # items that a walk may leave have a table of their own, by single words
-    few = [(w, i, at) for i, x in enumerate(words) if len(x) < SHORT for at, w in enumerate(x.tolist())]
-    few.sort()
-    for out, column in zip((keys, owner, offset), zip(*few, strict=True) if few else ((), (), ()), strict=True):
-        out.append(np.array(column, dtype=np.uint64 if out is keys else np.int64))
-    member = np.zeros((len(words), len(number) + 1), dtype=bool)
-    for i, w in enumerate(words):
-        member[i, w] = True
-    return Items(ids, words, number, bits, keys, owner, offset, member)
+    draw = np.random.default_rng(5)
+    names = draw.integers(1, 1 << 63, len(number) + 2, dtype=np.uint64)  # the first for words of no item, the last for edits
+    order, classes = sorted(range(len(words)), key=lambda i: len(words[i])), []
+    while order:
+        least = len(words[order[0]])
+        part = [i for i in order if len(words[i]) <= SPREAD * least]
+        order = order[len(part) :]
+        own = [words[i] for i in part]
+        steps, turns = _tables(own, names, draw)
+        flat, starts, ends = _laid(own)
+        which, keys, prefixes = walk(flat, starts, ends, names, steps, turns)
+        known = np.zeros(len(names), dtype=bool)
+        known[flat] = True
+        by = np.argsort(keys, kind="stable")
+        classes.append(Class((least, len(own[-1])), known, steps, turns, [np.unique(x) for x in prefixes], keys[by], np.array(part)[which[by]]))
+    return Items(ids, words, number, names, classes)
 
 
 def word_places(item: list[int]) -> dict[int, int]:
@@ -154,36 +233,23 @@ def align(item: list[int], text: list[int]) -> tuple[int, int, int]:
     return best
 
 
-def _proposals(items: Items, ids: np.ndarray, lengths: np.ndarray, edits: np.ndarray) -> np.ndarray:
-    """Distinct ``(window start, item)`` whose window of the item's size, and its allowance on both sides, has enough words of the item."""
+def _proposals(items: Items, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Distinct ``(window start, item)``; ``ends`` has where the text of each place ends."""
     found = []
-    starts = np.flatnonzero(ids > 0)
-    for r in range(REPEATS + 1):
-        at, key = sampled(ids, starts, items.bits[r])[:2] if r < REPEATS else (starts, ids[starts].astype(np.uint64))
-        if not len(items.keys[r]):
-            continue
-        low = np.searchsorted(items.keys[r], key, side="left")
-        hit = low < len(items.keys[r])
-        hit[hit] = items.keys[r][low[hit]] == key[hit]
-        at, low = at[hit], low[hit]
-        n = np.searchsorted(items.keys[r], key[hit], side="right") - low
-        place = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found.append(np.stack([np.repeat(at, n) - items.offset[r][place], items.owner[r][place]], axis=1))
-    if not found:
-        return np.zeros((0, 2), dtype=np.int64)
-    pairs = np.unique(np.concatenate(found), axis=0)
-    keep = []
-    for part in np.array_split(pairs, max(1, len(pairs) // 20_000)):
-        if not len(part):
-            continue
-        item = part[:, 1]
-        m, k = lengths[item], edits[item]
-        span = np.arange(int((m + 2 * k).max()))
-        where = (part[:, 0] - k)[:, None] + span
-        inside = (span < (m + 2 * k)[:, None]) & (where >= 0) & (where < len(ids))
-        have = (items.member[item[:, None], ids[where.clip(0, len(ids) - 1)]] & inside).sum(axis=1)
-        keep.append(part[have >= m - k])
-    return np.concatenate(keep) if keep else pairs[:0]
+    for c in items.classes:
+        least, most = c.sizes
+        own = c.known[ids]
+        many = np.concatenate([[0], np.cumsum(own)])
+        to = np.minimum(np.arange(len(ids)) + most + int(allowed(most)), ends)
+        # a match has at most so many foreign words, within the longest window; its first word, or one soon after, is the item's
+        starts = np.flatnonzero(own & (many[to] - many[:-1] >= least - int(allowed(least))))
+        for part in np.array_split(starts, max(1, len(starts) * len(c.steps) // 2_000_000)):
+            which, key, _ = walk(ids, part, ends[part], items.names, c.steps, c.turns, c.prefixes)
+            low = np.searchsorted(c.keys, key, side="left")
+            n = np.searchsorted(c.keys, key, side="right") - low
+            place = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.unique(np.stack([np.repeat(part[which], n), c.owner[place]], axis=1), axis=0))
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
 
 
 def find(items: Items, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
@@ -192,7 +258,7 @@ def find(items: Items, texts: list[bytes]) -> list[list[tuple[int, int, int, int
     if not items.words:
         return out
     lengths = np.array([len(w) for w in items.words])
-    edits = np.floor(lengths * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    edits = allowed(lengths)
     lists = [w.tolist() for w in items.words]
     places = [word_places(w) for w in lists]
     margin = int((lengths + 2 * edits).max()) + _GAP
@@ -204,14 +270,15 @@ def find(items: Items, texts: list[bytes]) -> list[list[tuple[int, int, int, int
         begin = np.array([w[2] for w in where])
         end = begin + np.array([len(p) for p in parts[::2]])
         done: dict[tuple[int, int], list] = {}
-        for at, item in _proposals(items, ids, lengths, edits).tolist():
+        stops = np.repeat(end, np.diff(np.append(begin, len(ids))))
+        for at, item in _proposals(items, ids, np.maximum(stops, np.arange(len(ids)))).tolist():
             m, k = len(lists[item]), int(edits[item])
             i = int(np.searchsorted(begin, min(max(at + m // 2, 0), len(ids) - 1), side="right")) - 1
             a, b = max(at - k, int(begin[i])), min(at + m + k, int(end[i]))
             if b <= a or any(x <= at + k and at - k <= y for x, y in done.get((i, item), ())):
                 continue  # the window is seen already
             window = ids[a:b].tolist()
-            if least_edits(places[item], m, window) <= k:
+            if sum(x in places[item] for x in window) >= m - k and least_edits(places[item], m, window) <= k:
                 d, s, e = align(lists[item], window)
                 text, base, place = where[i]
                 out[text].append((item, a + s - place + base, a + e - place + base, d))
@@ -252,7 +319,7 @@ def _searcher(shared):
     """The function of a pandas UDF, over the items that ``shared`` broadcasts."""
 
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items = index_items(shared.value)
+        items = shared.value
         for texts in batches:
             out = []
             for at in range(0, len(texts), 512):
@@ -270,15 +337,16 @@ def matches(benchmark: DataFrame, text: Column, *, item: str = "item_id", item_t
 
     Null and empty texts hold none; items without words match nothing; items
     that repeat are reported each. The items are read here, in blocks of about
-    ITEM_BLOCK; each block's index is broadcast.
+    ITEM_BYTES; each block's index is built once and broadcast.
     """
     spark = benchmark.sparkSession
-    blocks = max(1, -(-benchmark.count() // ITEM_BLOCK))
     rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 8), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // ITEM_BYTES))
     found = []
     for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part])
+        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()  # about ITEM_BYTES
+        shared = spark.sparkContext.broadcast(index_items([(r["i"], r["t"]) for r in part]))
 
         found.append(F.pandas_udf(_searcher(shared), MATCH)(F.coalesce(text, F.lit(""))))
     return found[0] if blocks == 1 else F.array_sort(F.concat(*found))

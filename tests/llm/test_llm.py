@@ -486,6 +486,52 @@ def test_recall_of_edited_passages(spark):
     assert texts[0][r["start"] : r["end"]].split()[0] in items[0].split() and r["similarity"] >= 0.8
 
 
+def test_decontamination_against_all_windows(spark, monkeypatch):
+    """Items planted with as many edits as allowed, in texts of the items' own words; the alignment of every item with every whole text decides."""
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 2000)  # several blocks
+    draw = random.Random(18)
+    items = [words(draw, m, 400).split() for m in [1, 2, 3, 4, 5, 7, 9, 10, 12, 14] + [draw.randint(15, 60) for _ in range(30)]]
+    items[0], items[1] = ["only1"], ["only2", "only3"]
+    texts = []
+    for i in range(150):
+        item = list(items[i % 40])
+        for _ in range(draw.randint(0, len(item) // 5)):
+            k = draw.randrange(len(item))
+            item[k : k + 1] = draw.choice([[], ["foreign"], [item[k], "more"]])
+        texts.append(" ".join([words(draw, draw.randint(0, 60), 400), *item, words(draw, draw.randint(0, 60), 400)]))
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(frame(spark, texts), benchmark).collect()}
+    number: dict = {}
+    ids = lambda xs: [number.setdefault(x, len(number)) for x in xs]
+    want = {}
+    for i, t in enumerate(texts):
+        for j, x in enumerate(items):
+            d = decontaminate.least_edits(decontaminate.word_places(ids(x)), len(x), ids(t.split()))
+            if d <= len(x) // 5:
+                want[i, j] = d
+    assert set(got) <= set(want) and all(got[x] >= want[x] for x in got)
+    assert len(want) >= 140 and len(got) >= 0.97 * len(want)
+
+
+def test_decontamination_of_long_texts(monkeypatch):
+    """Items at the seams of blocks and of embedded parts are found once each."""
+    from kairograph.llm import _shared
+
+    draw = random.Random(19)
+    item = words(draw, 40, 5000).split()
+    index = decontaminate.index_items([(7, " ".join(item))])
+    parts = []
+    for _ in range(40):
+        parts += [words(draw, 7000, 90_000), " ".join(item)]
+    data = " ".join(parts).encode()
+    assert len(data) > 1 << 20
+    monkeypatch.setattr(decontaminate, "WORDS_AT_ONCE", 5000)
+    monkeypatch.setattr(decontaminate, "word_blocks", lambda data: _shared.word_blocks(data, 1 << 14))
+    found = decontaminate.find(index, [data])[0]
+    at = [i for i, w in enumerate(data.decode().split()) if w == item[0]]
+    assert [(a, b, d) for _, a, b, d in found] == [(a, a + 40, 0) for a in at if data.decode().split()[a : a + 40] == item]
+
+
 def test_odd_rows_and_empty_tables(spark, odd, none):
     for run in (
         lambda d: pii.digest(pii.find_personal_data(d)), lambda d: secret_scan.digest(secret_scan.find_secrets(d)), simhash_dedup.near_duplicates, lang_id.identify,
