@@ -47,7 +47,7 @@ BROADCAST_FIRSTS = 4_000_000
 #: Texts with spans to remove (some 60 bytes each) up to which these are broadcast; beyond that all texts are shuffled once.
 BROADCAST_ROWS = 300_000
 #: Bytes that are chunked at once; longer texts are gone through in parts.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WHITE = b"\t\n\v\f\r "
@@ -197,6 +197,13 @@ def chunk_texts(texts: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray, np
         at = to
 
 
+def _grouped(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """``chunk_texts`` of a batch's ``data``, a few rows at a time, so that its texts aren't held twice; numbers count from the batch's start."""
+    for at in range(0, batch.num_rows, 128):
+        for first, *rest in chunk_texts(batch.column("data").slice(at, 128).to_pylist()):
+            yield at + first, *rest
+
+
 def chunks(data: bytes) -> list[tuple[int, int, int]]:
     """``(hash, start, end)`` of each chunk."""
     return list(zip(*(x.tolist() for x in chunk_arrays(data)), strict=True))
@@ -231,7 +238,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct chunk hashes of each text, how often they occur in it, and the number of the first such chunk."""
     for batch in batches:
         rid = batch.column("rid").to_numpy()
-        for at, _, begins, text, h, _, _ in chunk_texts(batch.column("data").to_pylist()):
+        for at, _, begins, text, h, _, _ in _grouped(batch):
             if len(h):
                 order = np.lexsort((h, text))
                 new = np.flatnonzero(np.append(True, (np.diff(h[order]) != 0) | (np.diff(text[order]) != 0)))
@@ -302,7 +309,7 @@ def _by_table(shared):
         hashes, firsts = shared.value
         for batch in batches:
             rid = batch.column("rid").to_numpy()
-            for at, data, begins, text, h, a, b in chunk_texts(batch.column("data").to_pylist()):
+            for at, data, begins, text, h, a, b in _grouped(batch):
                 where = np.searchsorted(hashes, h).clip(max=max(0, len(hashes) - 1))
                 known = hashes[where] == h if len(hashes) else np.zeros(len(h), dtype=bool)
                 out = _pieces(data, begins, text, h, a, b, rid[at : at + len(begins)], firsts[where] if len(hashes) else h, known)
