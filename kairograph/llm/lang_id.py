@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ ORDERS = (1, 2, 3)
 #: this bounded sample of the labelled rows, drawn by a hash of the row key.
 TRAIN_ROWS_PER_LANG = 4000
 ALPHA = 0.5
-BLOCK = 1 << 18  # characters that are hashed at once
+BLOCK = 1 << 16  # characters that are hashed at once
 #: Languages whose matrix (256 KB each) is broadcast at once; more are gone through in blocks.
 LANG_BLOCK = 256
 #: Languages (some 30 bytes each) whose counts are broadcast; more are joined.
@@ -141,19 +142,23 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     out = docs
 
     def classifier(shared):
-        @F.pandas_udf("lang string, best double, rest double")
-        def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @F.arrow_udf("lang string, best double, rest double")
+        def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             langs, logp = shared.value
-            for texts in batches:
-                use = [i for i, x in enumerate(texts) if _has_letter(x)]
-                names, best, rest = [None] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-                if use:
-                    total = totals([texts.iloc[i] for i in use], logp)
-                    best[use] = top = total.max(axis=1)
-                    rest[use] = np.log(np.exp(total - top[:, None]).sum(axis=1))
-                    for i, k in zip(use, total.argmax(axis=1).tolist(), strict=True):
-                        names[i] = langs[k]
-                yield pd.DataFrame({"lang": names, "best": best, "rest": rest})
+            for whole in batches:
+                parts = []
+                for at in range(0, len(whole), 512):  # so that few texts are held as Python's strings
+                    texts = whole.slice(at, 512).to_pylist()
+                    use = [i for i, x in enumerate(texts) if _has_letter(x)]
+                    names, best, rest = [None] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+                    if use:
+                        total = totals([texts[i] for i in use], logp)
+                        best[use] = top = total.max(axis=1)
+                        rest[use] = np.log(np.exp(total - top[:, None]).sum(axis=1))
+                        for i, k in zip(use, total.argmax(axis=1).tolist(), strict=True):
+                            names[i] = langs[k]
+                    parts.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(best), pa.array(rest)], names=["lang", "best", "rest"]))
+                yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang", pa.string()), ("best", pa.float64()), ("rest", pa.float64())]))
 
         return classify
 
