@@ -32,7 +32,7 @@ from ._shared import word_blocks
 
 SIMILARITY = 0.8
 #: Least share of copies with all the edits allowed that the tables have to propose, and the most tables for it.
-RECALL, MOST_TABLES = 0.97, 512
+RECALL, MOST_TABLES = 0.99, 512
 #: Places of a walk's output in a sample.
 SAMPLE = 3
 #: Sizes of the items in a class differ by this factor at most.
@@ -146,14 +146,17 @@ def _tables(own: list[np.ndarray], names: np.ndarray, draw: np.random.Generator)
     steps, turns, missed = [], [], np.ones(len(copies), dtype=bool)
     while not steps or (missed.sum() > (1 - RECALL) * len(copies) and len(steps) * TRIED < MOST_TABLES):
         # the first place early in the walk, so that most walks end soon; the others anywhere behind
-        first = draw.integers(max(1, length // 8), size=TRIED)
+        first = draw.integers(max(1, length // 4), size=TRIED)
         steps.append(np.array([sorted([f, *(f + 1 + draw.choice(length - f - 1, z - 1, replace=False))]) if z > 1 else [f] for f in first.tolist()]))
         turns.append(draw.integers(1 << 63, size=(TRIED, length), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
         if copies:
             ids, starts, ends = _laid([own[i] for i in source])
             a, key_a, _ = walk(ids, starts, ends, names, steps[-1], turns[-1])
-            ids, starts, ends = _laid(copies)
-            b, key_b, _ = walk(ids, starts, ends, names, steps[-1], turns[-1])
+            ids, starts, ends = _laid(copies)  # a document's windows start at each word: also at the first ones of a copy
+            late = np.minimum(starts[:, None] + np.arange(int(allowed(max(map(len, own)))) + 1), ends[:, None] - 1)
+            copy = np.repeat(np.arange(len(copies)), late.shape[1])
+            b, key_b, _ = walk(ids, late.ravel(), ends[copy], names, steps[-1], turns[-1])
+            b = copy[b]
             both = np.intersect1d(a.astype(np.uint64) * _ODD ^ key_a, b.astype(np.uint64) * _ODD ^ key_b)
             missed[b[np.isin(b.astype(np.uint64) * _ODD ^ key_b, both)]] = False
     return np.concatenate(steps), np.concatenate(turns)
