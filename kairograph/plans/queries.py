@@ -67,10 +67,13 @@ def exact_dedup_first(spark, sf_dir):
     return ledger.first_of_each(docs, "content_hash", "doc_id")
 
 
-@query("""WITH k AS (SELECT page_id, url, replace(url, '/', '\\') AS key FROM pages)
-SELECT replace(key, '\\', '/') AS episode_key, min(page_id) AS page_id FROM k GROUP BY 1""")
+@query("""WITH k AS (SELECT page_id, 'kb/doc/' || (page_id // 2) AS episode_key, page_id % 2 = 1 AS old FROM pages)
+SELECT episode_key, coalesce(min(page_id) FILTER (NOT old), min(page_id)) AS page_id FROM k GROUP BY 1""")
 def ledger_key_migration(spark, sf_dir):
-    rows = _t(spark, sf_dir, "pages").select(F.translate("url", "/", "\\").alias("episode_key"), "page_id")
+    """Keys that exist with slashes, with backslashes, or in both forms."""
+    number = F.floor(F.col("page_id") / 2)
+    slashes = F.concat(F.lit("kb/doc/"), number)
+    rows = _t(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 2 == 1, F.translate(slashes, "/", "\\")).otherwise(slashes).alias("episode_key"), "page_id")
     return ledger.migrate_keys(rows)
 
 
@@ -128,12 +131,14 @@ def graph_upsert_status(spark, sf_dir):
     return graph.upsert(events.where("value >= 20"), events.where("value < 40"), ["user_id", "event_type"])
 
 
-@query("""WITH e AS (SELECT c_custkey AS k, sha256('g|Customer|' || c_custkey) AS u FROM customer WHERE c_acctbal > 0)
-SELECT o_orderkey, u AS target_uuid FROM orders JOIN e ON o_custkey = k""")
+@query("""WITH s AS (SELECT s_suppkey AS k, sha256('g|Supplier|' || s_suppkey) AS u FROM supplier WHERE s_acctbal > 0), p AS (SELECT p_partkey AS k, sha256('g|Part|' || p_partkey) AS u FROM part WHERE p_retailprice > 950)
+SELECT l_orderkey, l_linenumber, s.u AS source_uuid, p.u AS target_uuid FROM lineitem JOIN s ON l_suppkey = s.k JOIN p ON l_partkey = p.k""")
 def relation_resolution(spark, sf_dir):
-    customers = _t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key"), graph.node_uuid(F.lit("g"), F.lit("Customer"), F.col("c_custkey")).alias("uuid"))
-    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("source_key"), F.col("o_custkey").alias("target_key"))
-    return graph.resolve(orders, customers).select("o_orderkey", "target_uuid")
+    """Suppliers that deliver parts: both ends have to be known."""
+    node = lambda t, label, key, mark: t.select(F.concat(F.lit(mark), key).alias("key"), graph.node_uuid(F.lit("g"), F.lit(label), F.col(key)).alias("uuid"))
+    known = node(_t(spark, sf_dir, "supplier").where("s_acctbal > 0"), "Supplier", "s_suppkey", "s").unionByName(node(_t(spark, sf_dir, "part").where("p_retailprice > 950"), "Part", "p_partkey", "p"))
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("s"), "l_suppkey").alias("source_key"), F.concat(F.lit("p"), "l_partkey").alias("target_key"))
+    return graph.resolve(lines, known).select("l_orderkey", "l_linenumber", "source_uuid", "target_uuid")
 
 
 @query("""SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
@@ -317,16 +322,24 @@ def source_links(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", T.as_link(said).alias("link"))
 
 
-@query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT kind, count(*) AS n FROM (SELECT CASE WHEN trim(line) = '' OR regexp_matches(trim(line), '^-{3,}$') OR regexp_matches(line, '^\\s*\\|[\\s:|-]+\\|\\s*$') THEN NULL
+@query("""WITH d AS (SELECT doc_id, chr(10) || '# ' || source || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || lang || ' | 2 |' || chr(10) || '- ' || n_chars || chr(10) || '---' || chr(10) || text AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, CASE WHEN trim(line) = '' OR regexp_matches(trim(line), '^-{3,}$') OR regexp_matches(line, '^\\s*\\|[\\s:|-]+\\|\\s*$') THEN NULL
 WHEN regexp_matches(line, '^#{1,6}\\s+\\S') THEN 'heading' WHEN regexp_matches(line, '^\\s*[-*]\\s+\\S') THEN 'bullet' WHEN regexp_matches(line, '^\\s*\\|.*\\|\\s*$') THEN 'table' ELSE 'paragraph' END AS kind FROM l) WHERE kind IS NOT NULL GROUP BY 1""")
 def markdown_blocks(spark, sf_dir):
-    return render.blocks(_t(spark, sf_dir, "documents"), "doc_id", "text").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Documents as pages with a heading, a table and a list before the text."""
+    page = F.concat(F.lit("\n# "), "source", F.lit("\n| a | b |\n|---|---|\n| "), "lang", F.lit(" | 2 |\n- "), "n_chars", F.lit("\n---\n"), "text")
+    found = render.blocks(_t(spark, sf_dir, "documents").select("doc_id", page.alias("text")), "doc_id", "text")
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query("""SELECT event_type, list_sort(list_distinct(flatten(list(json_keys(props))))) AS header FROM events GROUP BY 1""")
+@query("""WITH e AS (SELECT event_id, event_type, unnest(['k', 'u' || (user_id % 5), 'v' || (event_id % 3)]) AS k, generate_subscripts(['k', 'u', 'v'], 1) AS pos FROM events),
+f AS (SELECT event_type, k, min(event_id * 10 + pos) AS first FROM e GROUP BY 1, 2) SELECT event_type, list(k ORDER BY first) AS header FROM f GROUP BY 1""")
 def union_header(spark, sf_dir):
-    return render.union_keys(_t(spark, sf_dir, "events").withColumnRenamed("event_id", "ord"), "event_type", "props")
+    """Objects of several shapes; keys come in the order in which they first appear."""
+    key = lambda prefix, n: F.concat(F.lit(f', "{prefix}'), n, F.lit('": 1'))
+    props = F.concat(F.lit('{"k": 1'), key("u", F.col("user_id") % 5), key("v", F.col("event_id") % 3), F.lit("}"))
+    return render.union_keys(_t(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), "event_type", props.alias("props")), "event_type", "props")
 
 
 # --- code -----------------------------------------------------------------
