@@ -23,11 +23,13 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks of lines that stand earlier in the corpus; n_chars follows the text. Documents of which nothing is left go."""
+    """Documents without chunks of lines that stand earlier in the corpus; n_chars (if there) follows the text. Documents of which nothing is left go."""
     names = docs.columns
-    cut = line_dedup.remove_repeated(docs)
+    others = F.struct(*[c for c in names if c != "text"]).alias("row")
+    cut = line_dedup.remove_repeated(docs.select("doc_id", "text", others))
     left = cut.where((F.size("removed") == 0) | F.col("text").rlike(r"\S"))
-    return left.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*names)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "int"))}
+    return left.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in names])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
