@@ -55,3 +55,22 @@ def test_stages_match_plain_versions(spark, tmp_path):
         else:
             assert after == {i: t for i, t in before.items() if item not in t} and len(after) < len(before)
         before = after
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, columns with clashing names, no n_chars; and no rows at all."""
+    pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    draw = random.Random(13)
+    texts = [". ".join(say(draw, "abcdefgh", 12) for _ in range(3)) for _ in range(12)]
+    rows = [(i, t, "one", "s", "x", "y", "z") for i, t in enumerate(texts)] + [(3, texts[3], "one", "s", "x", "y", "z"), (None, texts[4], None, None, None, None, None), (50, None, None, None, None, None, None), (51, "", "one", "s", "x", "y", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, removed string, score string, component_id string")
+    spark.createDataFrame([(1, "never seen words here"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for df in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            df = stage(spark, df, str(tmp_path)).cache()
+            if name != "packing":
+                assert df.columns == docs.columns and [t for _, t in df.dtypes] == [t for _, t in docs.dtypes]
+            if name == "simhash_dedup":
+                ids = sorted(r["doc_id"] for r in df.collect())
+                assert ids == sorted(set(ids)) and (not ids or set(range(12)) <= set(ids))
+        assert df.count() == 0 or df.agg(F.count_distinct("doc_id")).first()[0] == 12
