@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, cover_tree, decontaminate, lang_id, line_dedup, lm_score, pii, secret_scan, simhash_dedup, warc
+from . import bin_packing, cover_tree, decontaminate, lang_id, line_dedup, lm_score, pii, secret_scan, simhash_dedup, source_audit, warc
 from ._shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_cover_tree": op9_cover_tree,
         "op10_decontaminate": op10_decontaminate,
+        "op11_source_audit": op11_source_audit,
     }
 
 
@@ -87,4 +92,4 @@ FROM embeddings LEFT JOIN c ON node = vec_id LEFT JOIN d ON a = vec_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": _WARC_SQL, "op9_cover_tree": _LINKS_SQL}
+    return {"op6_warc": _WARC_SQL, "op9_cover_tree": _LINKS_SQL, "op11_source_audit": source_audit.SQL}
