@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, cover_tree, decontaminate, lang_id, line_dedup, lm_score, pii, secret_scan, simhash_dedup, source_audit, warc
+from . import bin_packing, cover_tree, decontaminate, lang_id, line_dedup, lm_score, pii, secret_scan, simhash_dedup, source_audit, spelling, warc
 from ._shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(read_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op9_cover_tree": op9_cover_tree,
         "op10_decontaminate": op10_decontaminate,
         "op11_source_audit": op11_source_audit,
+        "op12_spelling": op12_spelling,
     }
 
 
