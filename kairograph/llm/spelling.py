@@ -184,7 +184,8 @@ def _found(rows: pd.DataFrame) -> pd.DataFrame:
     shard = Shard(int(rows["side"].iloc[0]), patterns["word"].tolist(), patterns["n"].tolist())
     total, best = shard.near(scanned)
     at = np.flatnonzero(total)
-    return pd.DataFrame({"word": [scanned[i] for i in at], "n_near": total[at], "form": [shard.words[best[i]] for i in at], "form_n": np.array([shard.counts[best[i]] for i in at], dtype=np.int64)})
+    said = lambda xs: pd.Series(xs, dtype=object)
+    return pd.DataFrame({"word": said([scanned[i] for i in at]), "n_near": total[at], "form": said([shard.words[best[i]] for i in at]), "form_n": np.array([shard.counts[best[i]] for i in at], dtype=np.int64)})
 
 
 def neighbours(words: DataFrame, *, size: int = SHARD) -> DataFrame:
