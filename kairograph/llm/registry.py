@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, cover_tree, decontaminate, lang_id, line_dedup, lm_score, pii, secret_scan, simhash_dedup, source_audit, spelling, warc
+from . import bin_packing, cover_tree, decontaminate, lang_id, line_dedup, lm_score, pii, secret_scan, simhash_dedup, source_audit, spelling, substring_dedup, warc
 from ._shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(read_table(spark, sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return cut.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -77,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op10_decontaminate": op10_decontaminate,
         "op11_source_audit": op11_source_audit,
         "op12_spelling": op12_spelling,
+        "op13_substring_dedup": op13_substring_dedup,
     }
 
 
@@ -97,4 +104,4 @@ FROM embeddings LEFT JOIN c ON node = vec_id LEFT JOIN d ON a = vec_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": _WARC_SQL, "op9_cover_tree": _LINKS_SQL, "op11_source_audit": source_audit.SQL}
+    return {"op6_warc": _WARC_SQL, "op9_cover_tree": _LINKS_SQL, "op11_source_audit": source_audit.SQL, "op13_substring_dedup": substring_dedup.SQL}
