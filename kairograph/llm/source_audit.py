@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ._shared import discard, staged
 
-#: Maximal runs of ASCII letters and of signs beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts terms, which are maximal runs of ASCII letters and of signs beyond ASCII.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of a language that a kept term is in, at least.
 LEAST_DOCS = 10
 #: Terms that are reported for a group.
@@ -36,9 +36,10 @@ def lowered(text: Column) -> Column:
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences, and documents that hold the term, from ``lang, source, text`` without nulls.
 
-    A document's terms and its distinct terms are exploded together, so that the texts are read and cut once.
+    A document's terms and its distinct terms are exploded together, so that the texts are read and cut once. They
+    are split at what parts them, since Java's engine tests that class ten times as fast as its complement.
     """
-    cut = docs.select("lang", "source", F.regexp_extract_all(lowered(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms"))
+    cut = docs.select("lang", "source", F.array_remove(F.split(lowered(F.col("text")), BETWEEN), "").alias("terms"))
     rows = cut.select("lang", "source", F.size("terms").alias("all"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
     first = F.col("at") < F.col("all")
     return rows.groupBy("lang", "source", "term").agg(F.count_if(first).alias("n"), F.count_if(~first).alias("docs"))
