@@ -25,6 +25,8 @@ from ._shared import discard, staged
 
 #: Least code points of a word, and least occurrences.
 LEAST, TIMES = 7, 2
+#: What parts runs of letters: all but ASCII letters and U+00C0 to U+00FF (Java's engine tests this ten times as fast as their complement).
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\xBF\x{100}-\x{10FFFF}]+"
 #: Code points of which every half has at least as many, and that choose its shard.
 SIDE = LEAST // 2
 #: One of so many runs of a document loses a code point.
@@ -39,10 +41,9 @@ PAIRS = 1 << 22
 
 def runs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``word``: every run of at least LEAST letters, A-Z lower-cased, some without a code point that the document's key chooses."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[A-Za-zÀ-ÿ]{{{LEAST},}}"), F.lit(0))
-    rows = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.explode(found).alias("run"))
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    rows = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.explode(F.split(low, BETWEEN)).alias("run")).where(F.length("run") >= LEAST)
     run = F.col("run")
-    rows = rows.select("key", F.when(run.rlike("[A-Z]"), F.translate(run, string.ascii_uppercase, string.ascii_lowercase)).otherwise(run).alias("run"))
     rows = rows.select("run", F.crc32(F.concat_ws(":", "key", "run").cast("binary")).alias("h"))
     at = (F.col("h") % F.length("run")).cast("int")
     cut = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length("run")))
