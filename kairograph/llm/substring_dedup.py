@@ -344,11 +344,12 @@ def remove_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     columns named ``n_words`` or ``removed`` are replaced. ``docs`` is read several times: stage it first if it is costly or changes between reads.
     """
     names = [c for c in docs.columns if c not in ("n_words", "removed")]
-    rows, rid = _numbered(docs.select(*names), key)
+    quoted = [f"`{c}`" for c in names]
+    rows, rid = _numbered(docs.select(*quoted), key)
     texts = rows.select(rid.alias("rid"), F.col(key).cast("long").alias("doc"), text_bytes(text).alias("data"))
     spans = repeated_spans(texts.where(F.col("doc").isNotNull() & (F.octet_length("data") >= 2 * WINDOW - 1)), group=group)
     spans = staged(spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "passage_cuts")  # of one text
-    joined = rows.select(F.struct(*names).alias("row"), rid.alias("rid")).join(spans.hint("shuffle_hash"), "rid", "left")
+    joined = rows.select(F.struct(*quoted).alias("row"), rid.alias("rid")).join(spans.hint("shuffle_hash"), "rid", "left")
     new = F.pandas_udf(_cut, _CUT)(F.col("row").getField(text).cast("binary"), F.col("spans"))
     joined = joined.select("row", new.alias("new"))
     return joined.select(*[F.col("new.text" if c == text else f"row.`{c}`").alias(c) for c in names], "new.n_words", "new.removed")
