@@ -32,6 +32,8 @@ class Rule:
 
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: Rules repeat single signs only: Java's engine walks repeated groups by recursion, and a long match would overflow its stack. Runs that
+#: a rule reads to their end are read once: a match that fails there doesn't begin again within them.
 BASE_RULES = (
     Rule("assign", ASSIGN, 2, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),  # AKIA[A-Z0-9]+ of 20 or more: runs are maximal, so that a minimum drops the same ones
@@ -40,8 +42,8 @@ BASE_RULES = (
 EXTRA_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("pem", r"-----BEGIN (?:[A-Z ]* )?PRIVATE KEY-----"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE_RULES + EXTRA_RULES
 #: Rows that one shard of a posting list may come from.
