@@ -40,7 +40,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"(?<![\w@.+-])(?=[A-Za-z._+/-]*[0-9@])[A-Za-z0-9][A-Za-z0-9@._+/-]{4,}[A-Za-z0-9]")
+_RUN = re.compile(r"[A-Za-z0-9@._+/-]{6,}+")
+_START = re.compile(r"(?<![\w@.+-])[A-Za-z0-9]")  # of a token within a run
+_INNER = "@._+/-"  # signs that end no token
 _FOLD = bytes.maketrans(b"123456789", b"000000000")
 
 
@@ -89,14 +91,24 @@ def context(text: str, start: int) -> str:
 
 
 def other_tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens (6 characters with 4 digits or an @ inside) that overlap no base span."""
+    """Identifier-like tokens (6 characters with 4 digits or an @ inside) that overlap no base span.
+
+    A run of such signs has one token at most: from the first place where one may start to the last letter or digit.
+    """
     ends = sorted((a, b) for a, _, b in taken)
     i = 0
-    for m in _TOKEN.finditer(text):
-        while i < len(ends) and ends[i][1] <= m.start():
+    for m in _RUN.finditer(text):
+        start = _START.search(text, m.start(), m.end())
+        if not start:
+            continue
+        token = text[start.start() : m.end()].rstrip(_INNER)
+        if len(token) < 6 or not ("@" in token or sum("0" <= c <= "9" for c in token) >= 4):
+            continue
+        low, high = start.start(), start.start() + len(token)
+        while i < len(ends) and ends[i][1] <= low:
             i += 1
-        if (i == len(ends) or ends[i][0] >= m.end()) and ("@" in m[0] or sum("0" <= c <= "9" for c in m[0]) >= 4):
-            yield m.span()
+        if i == len(ends) or ends[i][0] >= high:
+            yield low, high
 
 
 _MARKS = "array<struct<start: int, k: int, end: int, pattern: string, instance: string>>"
