@@ -105,7 +105,7 @@ def fit(docs: DataFrame, *, rows_per_lang: int = TRAIN_ROWS_PER_LANG, key: str =
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(key, "text", "lang")
     sizes = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of")), "lang_sizes")
     few = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), "text", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)  # by text too, as keys may be null or repeated
     sample = rows.join(few, "lang").where(draw < rows_per_lang / F.col("of"))
     counts = sample.select("lang", "text").mapInPandas(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     vectors = staged(counts.groupBy("lang").applyInPandas(_vector, "lang string, logp binary"), "lang_vectors")  # BUCKETS rows a group at most
