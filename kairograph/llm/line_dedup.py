@@ -2,7 +2,7 @@
 
 A line ends at a newline or after a sentence's end, so that passages inside a
 paragraph are seen too; longer ones, also those that are a whole text, are split
-after words (of Chinese and Japanese, after signs) chosen by a hash. A
+after words (where there are no blanks, between signs) chosen by a hash. A
 rolling hash over the hashes of neighbouring lines chooses the boundaries. A
 boundary depends on the lines beside it only, and so a passage is cut alike
 wherever it stands. A chunk begins at each boundary and goes on to the first
@@ -40,6 +40,8 @@ LEAST_BYTES = 64
 LONG, WORDS = 100, 8
 #: What the hash leaves whole, such as one word said over and over, is split after the first word beyond so many bytes.
 FORCED = 256
+#: What has no blank (nor kana or Han sign) for more than FORCED bytes is split between signs, after one byte of so many.
+SIGNS = 64
 #: Bytes beside a chunk that are compared too.
 BESIDE = 128
 #: First occurrences (16 bytes each, 64 MB in all) up to which they are broadcast; beyond that the chunks are joined with them.
@@ -86,12 +88,20 @@ def _line_ends(d: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if wide.any():
         han = (d >= 0xE3) & (d <= 0xE9)  # first bytes of kana and Han signs, which no blanks part
         words = np.flatnonzero(han | (d == 0x20))
+        every = None
+        if (np.diff(words, prepend=-1, append=len(d)) > FORCED).any():  # other scripts without blanks, encoded bytes
+            every, stops = np.full(len(d), WORDS, dtype=np.uint32), np.union1d(words, ends)
+            for i in np.flatnonzero(np.diff(stops) > FORCED).tolist():
+                start, stop = int(stops[i]) + 1, int(stops[i + 1])
+                han[start:stop] |= (d[start:stop] & 0xC0) != 0x80
+                every[start:stop] = SIGNS
+            words = np.flatnonzero(han | (d == 0x20))
         line = np.searchsorted(ends, words, side="right") - 1
         at = words[wide[line] & (words - ends[line] >= 8)]
         h = np.zeros(len(at), dtype=np.uint32)
         for k in range(8, 0, -1):
             h = (h ^ d[at - k]) * np.uint32(2654435761)
-        at = at[(h >> 24) % WORDS == 0]
+        at = at[(h >> 24) % (WORDS if every is None else every[at]) == 0]
         end[at + ~han[at]] = True  # after the blank
         ends = np.flatnonzero(end)
         for i in np.flatnonzero(np.diff(ends) > FORCED).tolist():
@@ -384,7 +394,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return spans
 
 
-def _numbered(docs: DataFrame, key: str) -> tuple[DataFrame, Column]:
+def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, Column]:
     """The rows, and a column that numbers them: the key where it is a whole number, never null and never repeated; else generated numbers, fixed by a written table."""
     if dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint"):
         n, distinct = docs.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
@@ -403,7 +413,7 @@ def remove_repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     ``removed`` are replaced. ``docs`` is read several times: stage it first if it is costly or changes between reads.
     """
     names = [c for c in docs.columns if c != "removed"]
-    rows, rid = _numbered(docs.select(*names), key)
+    rows, rid = numbered(docs.select(*names), key)
     spans = repeated_spans(rows.select(rid.alias("rid"), text_bytes(text).alias("data")).where(F.octet_length("data") >= LEAST_BYTES))
     small = spans.count() <= BROADCAST_ROWS
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import discard, staged, text_bytes
-from .line_dedup import _numbered
+from .line_dedup import numbered
 
 #: Words of a window: shorter repeats stay.
 WINDOW = 50
@@ -345,7 +345,7 @@ def remove_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     names = [c for c in docs.columns if c not in ("n_words", "removed")]
     quoted = [f"`{c}`" for c in names]
-    rows, rid = _numbered(docs.select(*quoted), key)
+    rows, rid = numbered(docs.select(*quoted), key)
     texts = rows.select(rid.alias("rid"), F.col(key).cast("long").alias("doc"), text_bytes(text).alias("data"))
     spans = repeated_spans(texts.where(F.col("doc").isNotNull() & (F.octet_length("data") >= 2 * WINDOW - 1)), group=group)
     spans = staged(spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "passage_cuts")  # of one text
