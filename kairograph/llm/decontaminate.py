@@ -14,7 +14,11 @@ out first. The walk is as long as the smallest item of the class needs, and a wa
 soon as no item of its table has the sample so far. An item of m words is
 found where some stretch of the document is within
 floor(m / 5) word edits of it (similarity 0.8). The number of tables of each class follows from RECALL:
-copies of its items with as many edits as are allowed show how often a table finds one.
+copies of its items with as many edits as are allowed show how often a table finds one. Where MOST_TABLES
+don't reach it, every window of the class' size is verified.
+
+Items of more than LONG words are proposed by their segments: of s equal parts one is within a share 1 / s of
+the edits, and so within those allowed to a part of its size. The whole item is verified then.
 """
 
 from __future__ import annotations
@@ -32,15 +36,17 @@ from ._shared import word_blocks
 
 SIMILARITY = 0.8
 #: Least share of copies with all the edits allowed that the tables have to propose, and the most tables for it.
-RECALL, MOST_TABLES = 0.99, 512
+RECALL, MOST_TABLES = 0.99, 128
+#: Words of the longest item that is walked whole.
+LONG = 96
 #: Places of a walk's output in a sample.
 SAMPLE = 3
 #: Sizes of the items in a class differ by this factor at most.
 SPREAD = 1.2
 #: Edited copies of a class' items from which its number of tables follows, and tables that are tried on them at a time.
 COPIES, TRIED = 256, 16
-#: Bytes of items whose index is broadcast at once; more items are gone through in blocks.
-ITEM_BYTES = 4 << 20
+#: Items (40 bytes a table each, and so 256 MB at the most tables), and bytes of items, whose index is broadcast at once; more items are gone through in blocks.
+ITEMS, ITEM_BYTES = 50_000, 4 << 20
 #: Words of documents that are embedded at once.
 WORDS_AT_ONCE = 1 << 19
 _GAP = 8  # foreign words between documents
@@ -64,7 +70,8 @@ class Class:
     turns: np.ndarray  # (tables, steps of the walk): odd numbers that decide whether to advance
     prefixes: list[np.ndarray]  # sorted, for each length
     keys: np.ndarray  # sorted whole samples
-    owner: np.ndarray
+    owner: np.ndarray  # the segments that they are of
+    all: np.ndarray | None = None  # the segments of the class, where the tables don't reach the recall
 
 
 @dataclass
@@ -75,6 +82,7 @@ class Items:
     words: list[np.ndarray]
     number: dict[bytes, int]
     names: np.ndarray  # a random number for each word
+    segments: np.ndarray  # (segments, 3): the item, the word of it that the segment begins at, and its words
     classes: list[Class]
 
 
@@ -134,8 +142,8 @@ def _laid(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(words), ends - [len(w) for w in words], ends
 
 
-def _tables(own: list[np.ndarray], names: np.ndarray, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Samples and turns of as many tables as RECALL asks for, tried on edited copies of the items."""
+def _tables(own: list[np.ndarray], names: np.ndarray, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Samples and turns of as many tables as RECALL asks for, tried on edited copies of the items, and whether they reach it."""
     least = min(map(len, own))
     length = max(1, -(-3 * least // 2))
     z = min(SAMPLE, length)
@@ -144,11 +152,12 @@ def _tables(own: list[np.ndarray], names: np.ndarray, draw: np.random.Generator)
         copies.append(edited(own[i], int(allowed(len(own[i]))), draw, len(names) - 1))
         source.append(int(i))
     steps, turns, missed = [], [], np.ones(len(copies), dtype=bool)
+    tried = TRIED if copies else 1  # without edits one table finds all
     while not steps or (missed.sum() > (1 - RECALL) * len(copies) and len(steps) * TRIED < MOST_TABLES):
         # the first place early in the walk, so that most walks end soon; the others anywhere behind
-        first = draw.integers(max(1, length // 4), size=TRIED)
+        first = draw.integers(max(1, length // 4), size=tried)
         steps.append(np.array([sorted([f, *(f + 1 + draw.choice(length - f - 1, z - 1, replace=False))]) if z > 1 else [f] for f in first.tolist()]))
-        turns.append(draw.integers(1 << 63, size=(TRIED, length), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        turns.append(draw.integers(1 << 63, size=(tried, length), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
         if copies:
             ids, starts, ends = _laid([own[i] for i in source])
             a, key_a, _ = walk(ids, starts, ends, names, steps[-1], turns[-1])
@@ -159,7 +168,19 @@ def _tables(own: list[np.ndarray], names: np.ndarray, draw: np.random.Generator)
             b = copy[b]
             both = np.intersect1d(a.astype(np.uint64) * _ODD ^ key_a, b.astype(np.uint64) * _ODD ^ key_b)
             missed[b[np.isin(b.astype(np.uint64) * _ODD ^ key_b, both)]] = False
-    return np.concatenate(steps), np.concatenate(turns)
+    return np.concatenate(steps), np.concatenate(turns), bool(missed.sum() <= (1 - RECALL) * len(copies))
+
+
+def _segments(words: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Items, those of more than LONG words in equal parts, and the item, first word and words of each."""
+    parts, where = [], []
+    for i, w in enumerate(words):
+        at = 0
+        for part in np.array_split(w, -(-len(w) // LONG)):
+            parts.append(part)
+            where.append((i, at, len(part)))
+            at += len(part)
+    return parts, np.array(where, dtype=np.int64).reshape(-1, 3)
 
 
 def index_items(rows: list[tuple[int | None, str | None]]) -> Items:
@@ -173,20 +194,21 @@ def index_items(rows: list[tuple[int | None, str | None]]) -> Items:
             words.append(np.array([number.setdefault(x, len(number) + 1) for x in w], dtype=np.int64))
     draw = np.random.default_rng(5)
     names = draw.integers(1, 1 << 63, len(number) + 2, dtype=np.uint64)  # the first for words of no item, the last for edits
-    order, classes = sorted(range(len(words)), key=lambda i: len(words[i])), []
+    parts, segments = _segments(words)
+    order, classes = sorted(range(len(parts)), key=lambda i: len(parts[i])), []
     while order:
-        least = len(words[order[0]])
-        part = [i for i in order if len(words[i]) <= SPREAD * least]
+        least = len(parts[order[0]])
+        part = [i for i in order if len(parts[i]) <= SPREAD * least]
         order = order[len(part) :]
-        own = [words[i] for i in part]
-        steps, turns = _tables(own, names, draw)
+        own = [parts[i] for i in part]
+        steps, turns, reached = _tables(own, names, draw)
         flat, starts, ends = _laid(own)
         which, keys, prefixes = walk(flat, starts, ends, names, steps, turns)
         known = np.zeros(len(names), dtype=bool)
         known[flat] = True
         by = np.argsort(keys, kind="stable")
-        classes.append(Class((least, len(own[-1])), known, steps, turns, [np.unique(x) for x in prefixes], keys[by], np.array(part)[which[by]]))
-    return Items(ids, words, number, names, classes)
+        classes.append(Class((least, len(own[-1])), known, steps, turns, [np.unique(x) for x in prefixes], keys[by], np.array(part)[which[by]], None if reached else np.array(part)))
+    return Items(ids, words, number, names, segments, classes)
 
 
 def word_places(item: list[int]) -> dict[int, int]:
@@ -197,11 +219,12 @@ def word_places(item: list[int]) -> dict[int, int]:
     return out
 
 
-def least_edits(places: dict[int, int], m: int, text: list[int]) -> int:
-    """The distance that ``align`` gives, by Myers' bit vectors: a column of the table in a few integer operations."""
+def distances(places: dict[int, int], m: int, text: list[int], anchored: bool = False) -> Iterator[int]:
+    """Edits between an item and the nearest stretch that ends at each place of ``text`` (anchored: that begins where ``text`` does), from
+    before its first word on, by Myers' bit vectors: a column of the table in a few integer operations."""
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
-    best = m
+    yield score
     for word in text:
         eq = places.get(word, 0)
         diagonal = (((eq & up) + up) ^ up) | eq
@@ -210,11 +233,24 @@ def least_edits(places: dict[int, int], m: int, text: list[int]) -> int:
             score += 1
         elif minus & top:
             score -= 1
-            best = min(best, score)
+        yield score
         vertical = eq | down
-        plus, minus = plus << 1 & full, minus << 1 & full
+        plus, minus = (plus << 1 | anchored) & full, minus << 1 & full
         up, down = (minus | ~(vertical | plus)) & full, plus & vertical
-    return best
+
+
+def least_edits(places: dict[int, int], m: int, text: list[int]) -> int:
+    """The distance that ``align`` gives."""
+    return min(distances(places, m, text))
+
+
+def align_long(item: list[int], text: list[int]) -> tuple[int, int, int]:
+    """Like ``align``, in far fewer steps, with the shortest stretch of those that end first: its end by the distances, its start by those of what is reversed."""
+    found = list(distances(word_places(item), len(item), text))
+    best = min(found)
+    end = found.index(best)
+    back = distances(word_places(item[::-1]), len(item), text[:end][::-1], anchored=True)
+    return best, end - next(i for i, d in enumerate(back) if d == best), end
 
 
 def align(item: list[int], text: list[int]) -> tuple[int, int, int]:
@@ -236,8 +272,18 @@ def align(item: list[int], text: list[int]) -> tuple[int, int, int]:
     return best
 
 
+def _windows(items: Items, ids: np.ndarray, starts: np.ndarray, to: np.ndarray, segment: int) -> np.ndarray:
+    """``(window start, segment)`` of all windows that have as many of the segment's words as a match needs."""
+    item, before, m = items.segments[segment].tolist()
+    known = np.zeros(len(items.names), dtype=bool)
+    known[items.words[item][before : before + m]] = True
+    many = np.concatenate([[0], np.cumsum(known[ids])])
+    starts = starts[many[to[starts]] - many[starts] >= m - int(allowed(m))]
+    return np.stack([starts, np.full(len(starts), segment)], axis=1)
+
+
 def _proposals(items: Items, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Distinct ``(window start, item)``; ``ends`` has where the text of each place ends."""
+    """Distinct ``(window start, segment)``; ``ends`` has where the text of each place ends."""
     found = []
     for c in items.classes:
         least, most = c.sizes
@@ -246,6 +292,9 @@ def _proposals(items: Items, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         to = np.minimum(np.arange(len(ids)) + most + int(allowed(most)), ends)
         # a match has at most so many foreign words, within the longest window; its first word, or one soon after, is the item's
         starts = np.flatnonzero(own & (many[to] - many[:-1] >= least - int(allowed(least))))
+        if c.all is not None:
+            found += [_windows(items, ids, starts, to, segment) for segment in c.all.tolist()]
+            continue
         for part in np.array_split(starts, max(1, len(starts) * len(c.steps) // 2_000_000)):
             which, key, _ = walk(ids, part, ends[part], items.names, c.steps, c.turns, c.prefixes)
             low = np.searchsorted(c.keys, key, side="left")
@@ -264,7 +313,7 @@ def find(items: Items, texts: list[bytes]) -> list[list[tuple[int, int, int, int
     edits = allowed(lengths)
     lists = [w.tolist() for w in items.words]
     places = [word_places(w) for w in lists]
-    margin = int((lengths + 2 * edits).max()) + _GAP
+    margin = int((lengths + 4 * edits).max()) + _GAP
     gap = np.zeros(_GAP, dtype=np.int64)
     parts, where, size = [], [], 0  # where: text, place of the part in the text, place in the whole
 
@@ -274,15 +323,18 @@ def find(items: Items, texts: list[bytes]) -> list[list[tuple[int, int, int, int
         end = begin + np.array([len(p) for p in parts[::2]])
         done: dict[tuple[int, int], list] = {}
         stops = np.repeat(end, np.diff(np.append(begin, len(ids))))
-        for at, item in _proposals(items, ids, np.maximum(stops, np.arange(len(ids)))).tolist():
+        for at, segment in _proposals(items, ids, np.maximum(stops, np.arange(len(ids)))).tolist():
+            item, before, _ = items.segments[segment].tolist()
             m, k = len(lists[item]), int(edits[item])
-            i = int(np.searchsorted(begin, min(max(at + m // 2, 0), len(ids) - 1), side="right")) - 1
-            a, b = max(at - k, int(begin[i])), min(at + m + k, int(end[i]))
+            near = 2 * k if m > LONG else k  # words before a segment may have edits too
+            i = int(np.searchsorted(begin, at, side="right")) - 1
+            at -= before
+            a, b = max(at - near, int(begin[i])), min(at + m + near, int(end[i]))
             if b <= a or any(x <= at + k and at - k <= y for x, y in done.get((i, item), ())):
                 continue  # the window is seen already
             window = ids[a:b].tolist()
             if sum(x in places[item] for x in window) >= m - k and least_edits(places[item], m, window) <= k:
-                d, s, e = align(lists[item], window)
+                d, s, e = (align_long if m > LONG else align)(lists[item], window)
                 text, base, place = where[i]
                 out[text].append((item, a + s - place + base, a + e - place + base, d))
                 done.setdefault((i, item), []).append((at, at))
@@ -344,8 +396,8 @@ def matches(benchmark: DataFrame, text: Column, *, item: str = "item_id", item_t
     """
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 8), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // ITEM_BYTES))
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t") + 8), F.lit(0))).first()
+    blocks = max(1, -(-size // ITEM_BYTES), -(-n // ITEMS))
     found = []
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()  # about ITEM_BYTES
