@@ -74,3 +74,14 @@ def test_odd_tables(spark, tmp_path):
                 ids = sorted(r["doc_id"] for r in df.collect())
                 assert ids == sorted(set(ids)) and (not ids or set(range(12)) <= set(ids))
         assert df.count() == 0 or df.agg(F.count_distinct("doc_id")).first()[0] == 12
+
+
+def test_near_duplicates_go_by_row(spark):
+    draw = random.Random(31)
+    t, u = (" ".join(f"w{draw.randrange(500)}" for _ in range(60)) for _ in range(2))
+    docs = lambda rows: spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], DOCS)
+    kept = lambda rows: sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs(rows), "").collect()), key=str)
+    assert kept([(1, t), (None, t), (None, u)]) == sorted([(1, t), (None, u)], key=str)
+    assert kept([(None, t), (None, t), (2, u), (2, u), (2, t)]) == sorted([(2, t), (2, u)], key=str)
+    assert kept([(3, t), (3, u), (4, t)]) == sorted([(3, t), (3, u)], key=str)
+    assert kept([(5, t), (4, t), (6, u)]) == sorted([(4, t), (6, u)], key=str)
