@@ -33,13 +33,17 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates; rows that repeat a document go as well."""
-    found = simhash_dedup.near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stay.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return kept
+    """The row with the smallest doc_id (null after all others, then by row order) of each group of near-duplicates.
+
+    Rows are numbered where doc_ids are null or repeated, so that each is decided for itself."""
+    rows, rid = line_dedup.numbered(docs, "doc_id")
+    found = simhash_dedup.near_duplicates(rows.select(rid.alias("__id"), "text"), key="__id").withColumnRenamed("doc_id", "__id")
+    if rows is docs:
+        stay = found.where(F.col("__id") == F.col("component_id"))
+    else:
+        least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__id")).alias("x")
+        stay = found.join(rows.select(rid.alias("__id"), "doc_id"), "__id").groupBy("component_id").agg(least).select("x.__id")
+    return rows.join(stay, rid == stay["__id"], "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
