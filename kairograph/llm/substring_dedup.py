@@ -279,20 +279,21 @@ def repeated_spans(texts: DataFrame, *, group: int = GROUP) -> DataFrame:
     out, todo = [], texts
     for prefix in PREFIXES:
         samples = staged(todo.mapInArrow(_sampler(prefix), _SAMPLES_DDL), "passage_samples")
-        many = samples.groupBy("a").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("a")
+        # what is grouped by a join's key is written first, so that adaptive execution can split a hot key's rows
+        many = staged(samples.groupBy("a").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("a"), "passage_groups")
         kept = staged(samples.join(many, "a", "left_semi"), "passage_suffixes")
-        firsts = kept.groupBy("c1", "c2").agg(F.min("doc").alias("first"), F.min("a").alias("a"))
+        firsts = staged(kept.groupBy("c1", "c2").agg(F.min("doc").alias("first"), F.min("a").alias("a")), "passage_firsts")
         members = staged(kept.join(firsts.drop("a"), ["c1", "c2"]).drop("c1", "c2"), "passage_members")
         stop = (F.col("low") + F.col("n") + (WINDOW - 1)).cast("int").alias("stop")
         out.append(staged(members.where("doc > first").select("rid", F.col("low").alias("start"), stop), "passage_spans"))
-        discard(samples)
+        discard(samples, many)
         if prefix == WINDOW:
-            discard(kept, members)
+            discard(kept, firsts, members)
             break
-        several = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("a")
+        several = staged(firsts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("a"), "passage_groups")
         left = members.where("doc = first").join(several, "a", "left_semi").drop("first")
         left = staged(left, "passage_asked")
-        discard(kept, members)
+        discard(kept, firsts, members, several)
         large = left.groupBy("a").count().where(F.col("count") > group).select("a", F.lit(True).alias("large"))
         asked = left.join(large, "a", "left")
         small = asked.where("large is null").groupBy("rid").agg(F.collect_list(F.struct("a", "low", "n", "off")).alias("asked"))  # of one text
