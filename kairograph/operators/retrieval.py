@@ -34,7 +34,8 @@ def phase_date(question: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Words of a text, lower-cased; none of a null one."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def top(scored: DataFrame, by: str, item: str, n: int, score: str = "score") -> DataFrame:
