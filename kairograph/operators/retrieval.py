@@ -105,19 +105,19 @@ def _scored(shared, n: int):
                 at_q = asked[np.repeat(first[t], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
                 total = np.bincount(np.repeat(i, many) * len(items) + at_q, weights=np.repeat(part, many), minlength=len(batch) * len(items)).reshape(len(batch), len(items)) if len(items) else np.zeros((len(batch), 0))
                 total = np.where(total > 0, np.round(total, 6), -np.inf)
-                total[_outside(batch, at)] = -np.inf
-                yield _best(total, np.array(items), batch["doc_id"].to_numpy(), n, "item_id", "doc_id")
+                total[outside(batch, at)] = -np.inf
+                yield best(total, np.array(items), batch["doc_id"].to_numpy(), n, "item_id", "doc_id")
 
     return score
 
 
-def _outside(batch: pd.DataFrame, at: np.ndarray) -> np.ndarray:
+def outside(batch: pd.DataFrame, at: np.ndarray) -> np.ndarray:
     """Pairs of rows and questions whose moment is outside of the row's [low, high); nulls are open."""
     low, high = (batch[c].to_numpy(dtype=np.float64)[:, None] for c in ("low", "high"))
     return (at[None, :] < low) | (at[None, :] >= high)
 
 
-def _best(score: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, column: str, row: str) -> pd.DataFrame:
+def best(score: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, column: str, row: str) -> pd.DataFrame:
     """The n best finite scores of each column, ties by row."""
     order = np.lexsort((np.broadcast_to(rows[:, None], score.shape), -score), axis=0)[:n]
     at = np.broadcast_to(np.arange(score.shape[1]), order.shape)
@@ -125,6 +125,12 @@ def _best(score: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, colu
     return pd.DataFrame({column: columns[at[keep]], row: rows[order[keep]], "score": score[order, at][keep]})
 
 
+def comparable(embedding: Column) -> Column:
+    """Whether a vector has a direction: not null nor zero, and without null or non-finite components."""
+    v = embedding.cast("array<double>")
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def cosine_search(vectors: DataFrame, queries: DataFrame, n: int = 10, *, own: bool = False, lower: str | None = None, upper: str | None = None, at: str | None = None) -> DataFrame:
     """``query_id, vec_id, score, rank``: the nearest vectors of each query vector, exactly; its own number only if ``own``.
 
@@ -133,8 +139,7 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, n: int = 10, *, own: b
     matrix that is broadcast; tasks multiply their batches with it and keep n per query. ``at``, ``lower``, ``upper``: as in ``bm25``.
     """
     spark = vectors.sparkSession
-    v = F.col("embedding").cast("array<double>")
-    fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    fine = comparable(F.col("embedding"))
     moment = F.col(at).cast("double") if at else F.lit(None).cast("double")
     asked = queries.where(fine).select("vec_id", "embedding", moment.alias("at"), F.size("embedding").alias("dim")).persist()
     bounds = [F.col(c).cast("double").alias(k) if c else F.lit(None).cast("double").alias(k) for k, c in (("low", lower), ("high", upper))]
@@ -167,8 +172,8 @@ def _nearest(shared, n: int, own: bool):
             score = np.round((v / np.linalg.norm(v, axis=1)[:, None]) @ q.T, 6)
             if not own:
                 score[vec[:, None] == ids[None, :]] = -np.inf
-            score[_outside(batch, at)] = -np.inf
-            yield _best(score, ids, vec, n, "query_id", "vec_id")
+            score[outside(batch, at)] = -np.inf
+            yield best(score, ids, vec, n, "query_id", "vec_id")
 
     return search
 
