@@ -25,7 +25,7 @@ from kairograph.operators import context, render, retrieval
 NOTHING = "Aucun contexte disponible dans le graphe de connaissances."
 KEYS = ("facts", "decisions", "actions", "risks", "sources")
 SYSTEM = (
-    "Tu es un assistant expert en smart metering. Réponds UNIQUEMENT à partir du contexte fourni ; si l'information est absente, dis-le explicitement. "
+    "Tu es un assistant expert du projet. Réponds UNIQUEMENT à partir du contexte fourni ; si l'information est absente, dis-le explicitement. "
     "Réponds en JSON valide avec exactement les clés : resume, facts, decisions, actions, risks, sources. Ne génère aucun texte en dehors du JSON."
 )
 SCHEMA = """{

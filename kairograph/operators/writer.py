@@ -1,9 +1,9 @@
-"""Writing the graph and the episodes: versioned tables, counters, dry runs.
+"""Writing the graph and the episodes: deltas, counters, dry runs.
 
-The graph's tables are folders of versions; a version counts once its write
-has succeeded, so that readers never see half of one, and a run that failed is simply
-run again. Episodes and the ledger are partitioned by batch: a batch that is
-done again overwrites its own partition.
+Nodes and edges of a batch are one transaction of a log of deltas (``deltas``), so that a
+batch writes in proportion to itself, readers never see nodes without their edges, and
+writers lose nothing of one another. Episodes and the ledger are partitioned by batch: a
+batch that is done again overwrites its own partition.
 """
 
 from __future__ import annotations
@@ -13,33 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kairograph.operators import graph, ledger
+from kairograph.operators import deltas, graph, ledger
 
-GROUP = "smart_metering"
+GROUP = "default"
 NODES = "uuid string, type string, key string, name string, summary string, attrs string, source_ref string, group_id string"
 EDGES = "uuid string, source_uuid string, target_uuid string, name string, fact string, valid_at timestamp, invalid_at timestamp, source_ref string, group_id string"
 EPISODES = "episode_key string, content_hash string, name string, body string, source_description string, reference_time timestamp, kind string, group_id string, batch string"
 LEDGER = "episode_key string, content_hash string, ingested_at timestamp, batch string"
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """The versions of a table whose writes have succeeded."""
-    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
-    return sorted(int(x.getPath().getParent().getName().partition("=")[2]) for x in found or [])
-
-
-def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The last version of a table; an empty frame if there is none."""
-    known = versions(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/version={known[-1]}") if known else spark.createDataFrame([], schema)
-
-
-def publish(df: DataFrame, path: str) -> None:
-    known = versions(df.sparkSession, path)
-    df.write.mode("overwrite").parquet(f"{path}/version={(known[-1] if known else 0) + 1}")
-
-
 def nodes_of(extractions: DataFrame, group: str = GROUP) -> DataFrame:
     """A row per entity of rows ``source_ref, entities``: NODES and ``pos``, its place in the list."""
     each = extractions.select("source_ref", F.posexplode("entities").alias("pos", "e")).select("source_ref", "pos", "e.*")
@@ -53,16 +35,32 @@ def edges_of(extractions: DataFrame, nodes: DataFrame, group: str = GROUP) -> tu
     side = lambda name: ends.select("source_ref", F.col("key").alias(f"{name}_key"), F.col("uuid").alias(f"{name}_uuid"))
     joined = rel.join(side("source"), ["source_ref", "source_key"], "left").join(side("target"), ["source_ref", "target_key"], "left")
     whole = F.col("source_uuid").isNotNull() & F.col("target_uuid").isNotNull()
-    uuid = F.sha2(F.concat_ws("|", F.lit(group), "source_uuid", "target_uuid", "name", "fact", "source_ref"), 256)
+    said = [F.col(c).cast("string") for c in ("source_uuid", "target_uuid", "name", "fact", "valid_at", "invalid_at", "source_ref")]
+    uuid = F.sha2(F.to_json(F.array(F.lit(group), *said)), 256)  # nulls and separators inside stay apart
     edges = joined.where(whole).select(uuid.alias("uuid"), "source_uuid", "target_uuid", "name", "fact", "valid_at", "invalid_at", "source_ref", F.lit(group).alias("group_id"))
     return edges, joined.where(~whole).select("source_ref", "source_key", "target_key", "name")
 
 
-def merged(existing: DataFrame, incoming: DataFrame, order: Column) -> DataFrame:
-    """All rows by uuid, the incoming ones in place of existing ones of the same uuid, the last by ``order`` of several."""
-    columns = existing.columns
-    last = incoming.groupBy("uuid").agg(F.max_by(F.struct(*[c for c in columns]), order).alias("r")).select("r.*")
-    return existing.join(last.select("uuid"), "uuid", "left_anti").select(*columns).unionByName(last.select(*columns))
+def distinct(incoming: DataFrame, columns: list[str], order: Column) -> DataFrame:
+    """A row per uuid: the last by ``order`` of several."""
+    return incoming.groupBy("uuid").agg(F.max_by(F.struct(*columns), order).alias("r")).select("r.*")
+
+
+def _root(root: str, group: str) -> str:
+    return f"{root}/graph/group_id={group}"  # a tenant's log is its own
+
+
+def nodes(spark: SparkSession, root: str, group: str = GROUP) -> DataFrame:
+    return deltas.read(spark, _root(root, group), "nodes", NODES)
+
+
+def edges(spark: SparkSession, root: str, group: str = GROUP) -> DataFrame:
+    return deltas.read(spark, _root(root, group), "edges", EDGES)
+
+
+def compact_graph(spark: SparkSession, root: str, group: str = GROUP) -> int | None:
+    """One transaction in place of all so far; None if there is at most one."""
+    return deltas.compact(spark, _root(root, group), {"nodes": NODES, "edges": EDGES})
 
 
 def write_graph(extractions: DataFrame, root: str, group: str = GROUP, *, dry_run: bool = False) -> DataFrame:
@@ -72,17 +70,15 @@ def write_graph(extractions: DataFrame, root: str, group: str = GROUP, *, dry_ru
     of one node. A dry run counts and writes nothing.
     """
     spark = extractions.sparkSession
-    at = {name: f"{root}/{name}/group_id={group}" for name in ("nodes", "edges")}  # a write leaves other groups' tables alone
-    old_nodes, old_edges = current(spark, at["nodes"], NODES), current(spark, at["edges"], EDGES)
-    nodes = nodes_of(extractions, group)
-    edges, dropped = edges_of(extractions, nodes, group)
-    known = old_nodes.select("uuid").withColumn("known", F.lit(True))
+    new = nodes_of(extractions, group)
+    linked, dropped = edges_of(extractions, new, group)
+    known = nodes(spark, root, group).select("uuid").withColumn("known", F.lit(True))
     reused = F.count_if(F.col("known").isNotNull())
-    counts = nodes.join(known, "uuid", "left").agg((F.count(F.lit(1)) - reused).alias("nodes_created"), reused.alias("nodes_reused"))
-    numbers = counts.first() + edges.agg(F.count(F.lit(1))).first() + dropped.agg(F.count(F.lit(1))).first()
+    counts = new.join(known, "uuid", "left").agg((F.count(F.lit(1)) - reused).alias("nodes_created"), reused.alias("nodes_reused"))
+    numbers = counts.first() + linked.agg(F.count(F.lit(1))).first() + dropped.agg(F.count(F.lit(1))).first()
     if not dry_run:
-        publish(merged(old_nodes, nodes, F.struct("source_ref", "pos")), at["nodes"])
-        publish(merged(old_edges, edges, F.struct("source_ref", "valid_at")), at["edges"])
+        columns = lambda schema: spark.createDataFrame([], schema).columns
+        deltas.write(_root(root, group), {"nodes": distinct(new, columns(NODES), F.struct("source_ref", "pos")), "edges": distinct(linked, columns(EDGES), F.struct("source_ref", "valid_at"))})
     return spark.createDataFrame([tuple(numbers)], "nodes_created long, nodes_reused long, edges_created long, edges_dropped long")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 
 def ingest(docs: DataFrame, root: str, checkpoint: str, *, name: str = "stream", **options):
-    """Ingests a stream of normalised documents batch by batch below ``root``; a batch that failed is done again in its own partition."""
+    """Ingests a stream of normalised documents batch by batch below ``root``; a batch that failed is done again in its own partition.
+
+    Partitions are named by the query's own identifier, which its checkpoint keeps: a stream with another checkpoint has
+    partitions of its own, and what it reads again the ledger skips.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        writer.ingest(df, root, f"{name}-{number}", **options)
+        query = json.loads(df.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        writer.ingest(df, root, f"{name}-{query}-{number}", **options)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,10 +1,11 @@
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from kairograph.operators import code, graph, modules, render, retrieval, writer
+from kairograph.operators import code, deltas, graph, modules, render, retrieval, writer
 from kairograph.schemas import EXTRACTION
 from kairograph.streaming import ingest
 
@@ -17,19 +18,95 @@ def test_graph_write(spark, tmp_path):
     root = str(tmp_path)
     first = extraction(spark, [("a", "Person", "A"), ("b", "Ticket", "B"), ("b", "Person", "B2")], [("a", "b"), ("a", "gone")])
     numbers = lambda *args, **more: tuple(writer.write_graph(*args, **more).first())
-    assert numbers(first, root, dry_run=True) == (3, 0, 1, 1) and writer.versions(spark, f"{root}/nodes/group_id={writer.GROUP}") == []
+    assert numbers(first, root, dry_run=True) == (3, 0, 1, 1) and not list(tmp_path.iterdir())
     assert numbers(first, root) == (3, 0, 1, 1)
-    edges = writer.current(spark, f"{root}/edges/group_id={writer.GROUP}", writer.EDGES).collect()
+    edges = writer.edges(spark, root).collect()
     last = spark.range(1).select(graph.node_uuid(F.lit(writer.GROUP), F.lit("Person"), F.lit("b"))).first()[0]
     assert [e["target_uuid"] for e in edges] == [last]  # of entities with a key the last counts
     assert numbers(first, root) == (0, 3, 1, 1)
     assert numbers(extraction(spark, [("a", "Person", "new name"), ("c", "Person", "C")], []), root) == (1, 1, 0, 0)
-    nodes = {r["key"] + r["type"]: r["name"] for r in writer.current(spark, f"{root}/nodes/group_id={writer.GROUP}", writer.NODES).collect()}
+    nodes = {r["key"] + r["type"]: r["name"] for r in writer.nodes(spark, root).collect()}
     assert nodes == {"aPerson": "new name", "bTicket": "B", "bPerson": "B2", "cPerson": "C"}
     assert numbers(first, root, "other") == (3, 0, 1, 1)
-    assert writer.current(spark, f"{root}/edges/group_id={writer.GROUP}", writer.EDGES).count() == 1
-    (tmp_path / "nodes" / f"group_id={writer.GROUP}" / "version=9").mkdir()  # half a write
-    assert writer.versions(spark, f"{root}/nodes/group_id={writer.GROUP}") == [1, 2, 3]
+    assert writer.edges(spark, root).count() == 1
+    before = sorted(map(str, writer.nodes(spark, root).collect())), sorted(map(str, writer.edges(spark, root).collect()))
+    assert writer.compact_graph(spark, root) == 4 and writer.compact_graph(spark, root) is None
+    deltas.vacuum(spark, f"{root}/graph/group_id={writer.GROUP}")
+    assert (sorted(map(str, writer.nodes(spark, root).collect())), sorted(map(str, writer.edges(spark, root).collect()))) == before
+    assert len(list((tmp_path / "graph" / f"group_id={writer.GROUP}" / "nodes").iterdir())) == 1
+    assert numbers(extraction(spark, [("a", "Person", "newest")], []), root) == (0, 1, 0, 0)
+    assert {r["name"] for r in writer.nodes(spark, root).where("key = 'a'").collect()} == {"newest"}
+
+
+ROWS = "uuid string, name string"
+
+
+def test_a_batch_writes_in_proportion_to_itself(spark, tmp_path):
+    root = str(tmp_path)
+    size = lambda: sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    deltas.write(root, {"nodes": spark.range(50_000).select(F.sha2(F.col("id").cast("string"), 256).alias("uuid"), F.lit("x").alias("name"))})
+    large = size()
+    deltas.write(root, {"nodes": spark.createDataFrame([("one", "new")], ROWS)})
+    assert size() - large < large / 100 and deltas.read(spark, root, "nodes", ROWS).count() == 50_001
+
+
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    put = lambda i: deltas.write(root, {"nodes": spark.createDataFrame([(f"own{i}", str(i)), ("same", str(i))], ROWS), "edges": spark.createDataFrame([(f"e{i}", "x")], ROWS)})
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(put, range(8)))
+    assert sorted(numbers) == list(range(1, 9))
+    got = {r["uuid"]: r["name"] for r in deltas.read(spark, root, "nodes", ROWS).collect()}
+    assert got == {**{f"own{i}": str(i) for i in range(8)}, "same": str(numbers.index(8))}
+    assert deltas.read(spark, root, "edges", ROWS).count() == 8
+
+
+def test_compaction_keeps_later_deltas_and_gives_way_to_another(spark, tmp_path, monkeypatch):
+    root, schemas = str(tmp_path), {"nodes": ROWS}
+    put = lambda *rows: deltas.write(root, {"nodes": spark.createDataFrame(list(rows), ROWS)})
+    got = lambda: {r["uuid"]: r["name"] for r in deltas.read(spark, root, "nodes", ROWS).collect()}
+    put(("a", "1"), ("b", "1"))
+    put(("a", "2"))
+    read = deltas.read
+
+    def late(*args, **more):
+        monkeypatch.setattr(deltas, "read", read)
+        state = read(*args, **more)
+        put(("b", "late"), ("c", "late"))  # after the compaction has chosen what to read
+        return state
+
+    monkeypatch.setattr(deltas, "read", late)
+    assert deltas.compact(spark, root, schemas) == 4
+    assert got() == {"a": "2", "b": "late", "c": "late"}
+    put(("d", "5"))
+
+    def other(*args, **more):
+        monkeypatch.setattr(deltas, "read", read)
+        state = read(*args, **more)
+        deltas.compact(spark, root, schemas)
+        return state
+
+    monkeypatch.setattr(deltas, "read", other)
+    with pytest.raises(deltas.Conflict):
+        deltas.compact(spark, root, schemas)
+    assert got() == {"a": "2", "b": "late", "c": "late", "d": "5"}
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    bad = spark.range(3).select(F.raise_error(F.lit("no")).cast("string").alias("uuid"), F.lit("x").alias("name"))
+    with pytest.raises(Exception, match="no"):
+        deltas.write(root, {"nodes": spark.createDataFrame([("a", "1")], ROWS), "edges": bad})
+    assert deltas.read(spark, root, "nodes", ROWS).count() == 0 and not list(tmp_path.rglob("*.parquet"))
+
+
+def test_edges_that_differ_in_nulls_or_dates_are_apart(spark):
+    rows = [("a", "b", None, "x", None), ("a", "b", "x", None, None), ("a", "b", "x|y", None, None), ("a", "b", "x", "y", None), ("a", "b", "x", "y", "2024-01-01")]
+    relations = [(s, t, n, f, v, None) for s, t, n, f, v in rows]
+    one = spark.createDataFrame([("r", [("a", "Person", "A", None, None), ("b", "Person", "B", None, None)], relations)], EXTRACTION.replace("timestamp", "string"))
+    one = one.withColumn("relations", F.col("relations").cast("array<struct<source_key: string, target_key: string, name: string, fact: string, valid_at: timestamp, invalid_at: timestamp>>"))
+    edges, dropped = writer.edges_of(one, writer.nodes_of(one))
+    assert edges.select("uuid").distinct().count() == 5 and dropped.count() == 0
 
 
 DOCS = "id_source string, source_type string, title string, body string, url string, modified_at timestamp, seq int"
@@ -65,6 +142,17 @@ def test_stream_twice(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out" / "episodes")).count() == (3 if more else 2)
 
 
+def test_a_stream_with_a_new_checkpoint_keeps_what_others_committed(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    docs(spark, [("1", "x"), ("2", "y"), ("3", "z")]).write.parquet(source)
+    stream = lambda: spark.readStream.schema(DOCS).parquet(source)
+    ingest.ingest(stream(), out, str(tmp_path / "first"), order="seq").awaitTermination()
+    docs(spark, [("4", "n")]).write.mode("append").parquet(source)
+    ingest.ingest(stream(), out, str(tmp_path / "second"), order="seq").awaitTermination()
+    for table in ("episodes", "ledger"):
+        assert spark.read.parquet(f"{out}/{table}").count() == 4
+
+
 def test_windows_of_a_stream(spark, tmp_path):
     events = spark.createDataFrame([(i, i % 2, "a", 1.0, f"2024-01-0{1 + i % 3} 10:00:00") for i in range(12)], "event_id int, user_id int, event_type string, value double, ts string").withColumn("ts", F.to_timestamp("ts"))
     events.write.parquet(str(tmp_path / "in"))
