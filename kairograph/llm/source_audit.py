@@ -29,20 +29,39 @@ SALTS = 64
 
 
 def lowered(text: Column) -> Column:
-    """``text`` with only A-Z in lower case."""
-    return F.when(text.rlike("[A-Z]"), F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(text)
+    """``text`` with only A-Z in lower case; of texts in ASCII that is what ``lower`` does, far faster."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences, and documents that hold the term, from ``lang, source, text`` without nulls.
+def numbered_groups(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``lang, source, lid, gid`` of the groups that occur, and the seed of the hashes that number them: one for which all differ."""
+    groups = staged(rows.select("lang", "source").distinct(), "audit_groups")
+    n, langs = groups.agg(F.count(F.lit(1)), F.count_distinct("lang")).first()
+    seed = 0
+    while True:
+        found = groups.withColumns(_numbers(seed))
+        if tuple(found.agg(F.count_distinct("gid"), F.count_distinct("lid")).first()) == (n, langs):
+            return found, seed
+        seed += 1
+
+
+def _numbers(seed: int) -> dict[str, Column]:
+    return {"gid": F.xxhash64("lang", "source", F.lit(seed)), "lid": F.xxhash64("lang", F.lit(seed))}
+
+
+def term_counts(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """``term, gid, lid, n, docs``: occurrences, and documents that hold the term, from ``lang, source, text`` without nulls.
 
     A document's terms and its distinct terms are exploded together, so that the texts are read and cut once. They
     are split at what parts them, since Java's engine tests that class ten times as fast as its complement.
+    Groups go by number, which is less to hash and to move than two texts.
     """
-    cut = docs.select("lang", "source", F.array_remove(F.split(lowered(F.col("text")), BETWEEN), "").alias("terms"))
-    rows = cut.select("lang", "source", F.size("terms").alias("all"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
-    first = F.col("at") < F.col("all")
-    return rows.groupBy("lang", "source", "term").agg(F.count_if(first).alias("n"), F.count_if(~first).alias("docs"))
+    numbers = _numbers(seed)
+    cut = docs.select(numbers["gid"].alias("gid"), numbers["lid"].alias("lid"), F.array_remove(F.split(lowered(F.col("text")), BETWEEN), "").alias("terms"))
+    rows = cut.select("gid", "lid", F.size("terms").alias("all"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
+    first = (F.col("at") < F.col("all")).cast("int")
+    return rows.groupBy("term", "gid", "lid").agg(F.sum(first).alias("n"), F.sum(1 - first).alias("docs"))
 
 
 def _share(count: str, total: str, kept: str) -> Column:
@@ -70,36 +89,40 @@ def audit(docs: DataFrame, *, lang: str = "lang", source: str = "source", text:
     """
     empty = F.lit("")
     rows = docs.select(F.coalesce(lang, empty).alias("lang"), F.coalesce(source, empty).alias("source"), F.coalesce(text, empty).alias("text"))
-    counts = staged(term_counts(rows), "audit_counts")
-    terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    terms = staged(terms.select("lang", "term", "n"), "audit_terms")
-    langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("total"))
-    groups = staged(rows.select("lang", "source").distinct(), "audit_groups")
+    groups, seed = numbered_groups(rows)
+    counts = staged(term_counts(rows, seed), "audit_counts")
+    terms = counts.groupBy("term", "lid").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
+    terms = staged(terms.select("term", "lid", "n"), "audit_terms")
+    langs = terms.groupBy("lid").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("total"))
 
+    # each language's terms with each of its groups; keys are terms first, which sort fast, and never held by one task
     salt = F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int").alias("salt")
-    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dense = terms.select("lang", "term", salt).join(spread, ["lang", "salt"]).drop("salt")
-    dense = dense.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").fillna(0, ["n"])
+    spread = groups.select("lid", "gid", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dense = terms.select("term", "lid", salt).join(spread, ["lid", "salt"]).drop("salt")
+    dense = dense.join(counts.select("term", "gid", "n").hint("shuffle_hash"), ["term", "gid"], "left").fillna(0, ["n"])
     dense = staged(dense, "audit_dense")
-    totals = dense.groupBy("lang", "source").agg(F.sum("n").alias("total")).join(langs.drop("total"), "lang")
-    shares = dense.join(totals, ["lang", "source"]).select("lang", "source", "term", "n", _share("n", "total", "kept").alias("p"))
-    shares = staged(shares, "audit_shares")
-
-    own, other = shares.alias("a"), shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q")).alias("b")
-    sums = own.join(other, ["lang", "term"]).where(F.col("source") < F.col("item"))
-    sums = sums.groupBy("lang", "source", "item").agg(F.sum(_difference(F.col("p"), F.col("q"))).alias("value"))
-    sides = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("x")
-    sums = sums.select("lang", sides, "value").select("lang", "x.*", "value")
-    pairs = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where(F.col("source") != F.col("item"))
-    pairs = pairs.join(sums, ["lang", "source", "item"], "left").fillna(0, ["value"])
-
-    whole = terms.join(langs, "lang").select("lang", "term", _share("n", "total", "kept").alias("q"))
-    over = shares.where("n > 0").join(whole, ["lang", "term"]).where(F.col("p") > F.col("q"))
-    over = over.select("lang", "source", F.col("term").alias("item"), _difference(F.col("p"), F.col("q")).alias("value"))
+    totals = dense.groupBy("gid").agg(F.sum("n").alias("total"))
+    sizes = groups.join(langs.drop("total"), "lid").join(totals, "gid").select("gid", "kept", "total")
+    shares = staged(dense.join(sizes, "gid").select("term", "lid", "gid", "n", _share("n", "total", "kept").alias("p")), "audit_shares")
+
+    other = shares.select("term", "lid", F.col("gid").alias("other"), F.col("p").alias("q"))
+    sums = shares.select("term", "lid", "gid", "p").join(other.hint("shuffle_hash"), ["term", "lid"]).where(F.col("gid") < F.col("other"))
+    sums = sums.groupBy("gid", "other").agg(F.sum(_difference(F.col("p"), F.col("q"))).alias("value"))
+    sides = F.explode(F.array(F.struct("gid", "other"), F.struct(F.col("other").alias("gid"), F.col("gid").alias("other")))).alias("x")
+    sums = sums.select(sides, "value").select("x.*", "value")
+    item = groups.select("lid", F.col("gid").alias("other"), F.col("source").alias("item"))
+    pairs = groups.join(item, "lid").where(F.col("gid") != F.col("other"))
+    pairs = pairs.join(sums, ["gid", "other"], "left").fillna(0, ["value"])
+
+    whole = terms.join(langs, "lid").select("term", "lid", _share("n", "total", "kept").alias("q"))
+    over = shares.where("n > 0").join(whole, ["term", "lid"]).where(F.col("p") > F.col("q"))
+    over = over.select("gid", F.col("term").alias("item"), _difference(F.col("p"), F.col("q")).alias("value"))
+    near = Window.partitionBy("gid").orderBy(F.desc("value"), "item")
+    over = over.withColumn("at", F.row_number().over(near)).where(F.col("at") <= top).join(groups, "gid")
 
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     out = lambda rows, part: rows.select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), rank.alias("rank"))
-    result = out(pairs, "pair").unionByName(out(over, "term").where(F.col("rank") <= top))
+    result = out(pairs, "pair").unionByName(out(over, "term"))
     discard(counts, dense)
     return result
 
