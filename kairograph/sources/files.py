@@ -13,6 +13,7 @@ LANGUAGES = {".java": "java", ".py": "python", ".cs": "csharp"}
 SKIPPED = (".git", "__pycache__", ".venv", "node_modules", "target", "build")
 DIAGRAMS = {".puml": "plantuml", ".plantuml": "plantuml", ".mmd": "mermaid", ".mermaid": "mermaid"}
 
+_COLUMNS = ("id_source", "source_type", "title", "body", "author", "created_at", "modified_at", "url", "meta", "attachments")
 _SUFFIX = r"(\.[^./\\]+)$"
 
 
@@ -46,7 +47,12 @@ def source_code(spark: SparkSession, path: str) -> DataFrame:
 
 def meetings(spark: SparkSession, path: str) -> DataFrame:
     """Normalised documents of transcripts in plain text and WebVTT."""
-    files = text_files(spark, path).withColumn("file", F.col("path"))
+    return transcript_documents(text_files(spark, path))
+
+
+def transcript_documents(texts: DataFrame) -> DataFrame:
+    """The same of files ``path, value, size``."""
+    files = texts.withColumn("file", F.col("path"))
     vtt = F.lower("path").endswith(".vtt")
     segments = transcripts.from_text(files.where(F.lower("path").endswith(".txt"))).unionByName(transcripts.from_vtt(files.where(vtt)))
     whole = transcripts.assemble(segments).join(files.select("file", "size"), "file")
@@ -59,8 +65,60 @@ def meetings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _parts(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return binary.parts(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}").load(path), kind)
+
+
 def _office(kind: str):
-    return lambda spark, path: binary.documents(binary.parts(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}").load(path), kind), kind)
+    return lambda spark, path: binary.documents(_parts(spark, path, kind), kind)
+
+
+def _wiki(spark: SparkSession, url: str, space: str) -> DataFrame:
+    """Pages with their comments."""
+    rows = paged.pages(spark, url, space)
+    return records.wiki_pages(rows, paged.comments(rows, url), url=url, space=space)
+
+
+def folder(spark: SparkSession, path: str, pdf=None) -> tuple[DataFrame, DataFrame]:
+    """Normalised documents of the files right in a folder, each by the reader of its suffix, and ``path, reason`` of the files that gave none.
+
+    A file is unreadable, of a suffix without a reader, or (PDF) in need of one, which ``pdf`` gives (``binary.pdf``). Documents
+    carry ``path``; ordered by it they are in the order of names.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
+    routed = records.route(listed)
+    routed = routed.withColumn("reader", F.when(F.lower("path").endswith(".drawio.xml"), "diagram").otherwise(F.col("reader")))
+    suffix = F.lower(F.regexp_extract("path", _SUFFIX, 1))
+    drawn = (F.col("reader") == "diagram") & suffix.isin(".drawio", ".xml")
+    taken, reasons = [], []
+    kinds = [("docx", F.col("reader") == "docx", None), ("xlsx", F.col("reader") == "xlsx", None), ("drawio", drawn, None)] + ([("pdf", F.col("reader") == "pdf", pdf)] if pdf else [])
+    for kind, own, read in kinds:
+        found = binary.parts(routed.where(own), kind, read) if read else binary.parts(routed.where(own), kind)
+        taken.append(binary.documents(found, kind).withColumn("path", F.col("url")))
+        reasons.append(binary.broken(found).select("path", F.col("error").alias("reason")))
+    said = routed.withColumn("value", F.decode("content", "UTF-8"))
+    taken.append(text_diagrams(said.where(F.col("reader").eqNullSafe("diagram") & ~drawn)).withColumn("path", F.col("url")))
+    taken.append(notes(said.where(F.col("reader").eqNullSafe("obsidian"))).withColumn("path", F.col("url")))
+    taken.append(transcript_documents(said.where(F.col("reader").eqNullSafe("meeting"))).withColumn("path", F.col("url")))
+    lost = F.col("reader").isNull() | ((F.col("reader") == "pdf") & F.lit(pdf is None))
+    reasons.append(routed.where(lost).select("path", F.when(F.col("reader").isNull(), "no reader of this suffix").otherwise("no reader of PDF given").alias("reason")))
+    columns = [*_COLUMNS, "path"]
+    documents, broken = taken[0].select(*columns), reasons[0]
+    for x in taken[1:]:
+        documents = documents.unionByName(x.select(*columns))
+    for x in reasons[1:]:
+        broken = broken.unionByName(x)
+    return documents, broken
+
+
+def notes(files_: DataFrame) -> DataFrame:
+    """Normalised documents of Markdown notes ``path, value, size, modified_at``; blank ones have none."""
+    rows = files_.where(F.trim("value") != "")
+    return rows.select(
+        F.regexp_replace("path", "^file:(//)?", "").alias("id_source"), F.lit("obsidian").alias("source_type"), F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "").alias("title"),
+        F.col("value").alias("body"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("timestamp").alias("created_at"), "modified_at", F.col("path").alias("url"),
+        F.to_json(F.struct(F.col("size").alias("taille_octets"))).alias("meta"), F.expr("cast(array() as array<string>)").alias("attachments"),
+    )
 
 
 def _commits(spark: SparkSession, path: str) -> DataFrame:
@@ -72,15 +130,24 @@ def _commits(spark: SparkSession, path: str) -> DataFrame:
 #: Each source by its name: the arguments that it needs, and its reader.
 SOURCES = {
     "jira": (("url", "query"), lambda spark, url, query: records.tickets(paged.tickets(spark, url, query), url)),
-    "confluence": (("url", "space"), lambda spark, url, space: records.wiki_pages(paged.pages(spark, url, space), url=url, space=space)),
+    "confluence": (("url", "space"), _wiki),
     "git": (("path",), _commits),
     "meeting": (("path",), meetings),
     "diagram": (("path",), lambda spark, path: _office("drawio")(spark, path).unionByName(text_diagrams(text_files(spark, path)))),
     "docx": (("path",), _office("docx")),
     "xlsx": (("path",), _office("xlsx")),
+    "folder": (("path",), lambda spark, path: folder(spark, path)[0]),
 }
 
 
+def quarantined(spark: SparkSession, source: str, path: str) -> DataFrame:
+    """``path, reason`` of the files below a path that the source could not read (of a folder: that gave no document)."""
+    if source == "folder":
+        return folder(spark, path)[1]
+    kind = {"diagram": "drawio"}.get(source, source)
+    return binary.broken(_parts(spark, path, kind)).select("path", F.col("error").alias("reason"))
+
+
 def read(spark: SparkSession, source: str, **given: str) -> DataFrame:
     """Normalised documents of a source; ValueError for an unknown source, or an argument that is missing or not known."""
     if source not in SOURCES:

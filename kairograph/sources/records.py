@@ -75,7 +75,7 @@ def wiki_pages(pages: DataFrame, comments: DataFrame | None = None, url: str = "
     said = F.expr("cast(array() as array<string>)")
     if comments is not None:
         author = F.col("author") if "author" in comments.columns else F.lit(None).cast("string")
-        each = comments.select(F.col("id"), F.struct("seq", _said(author, T.html_text(F.col("value"))).alias("said")).alias("x"))
+        each = comments.select(F.col("id"), F.struct("seq", _said(author, T.html_text_exact(F.col("value"))).alias("said")).alias("x"))
         joined = pages.join(each.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("xs")), "id", "left")  # a page's comments
         said = F.transform(F.coalesce("xs", F.array()), lambda x: x["said"])
     key = F.coalesce(F.col("space.key"), F.lit(space))
@@ -83,7 +83,7 @@ def wiki_pages(pages: DataFrame, comments: DataFrame | None = None, url: str = "
     meta = F.struct(key.alias("space_key"), F.col("version.number").alias("version_number"), F.size(said).alias("nb_comments"), labels.alias("labels"))
     return joined.select(
         F.col("id").alias("id_source"), F.lit("confluence").alias("source_type"), F.coalesce("title", F.lit("(sans titre)")).alias("title"),
-        _body(T.html_text(F.coalesce("body.storage.value", F.lit(""))), _block("Commentaires", said, "\n\n")).alias("body"),
+        _body(T.html_text_exact(F.coalesce("body.storage.value", F.lit(""))), _block("Commentaires", said, "\n\n")).alias("body"),
         F.col("history.createdBy.displayName").alias("author"), T.parse_iso(F.col("history.createdDate")).alias("created_at"), T.parse_iso(F.col("version.when")).alias("modified_at"),
         F.concat(F.lit(f"{url.rstrip('/')}/wiki/spaces/"), key, F.lit("/pages/"), F.col("id")).alias("url"), F.to_json(meta).alias("meta"),
         F.expr("cast(array() as array<string>)").alias("attachments"), labels.alias("labels"),
