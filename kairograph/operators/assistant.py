@@ -41,16 +41,16 @@ SCHEMA = """{
 Client = Callable[[str, str], str]
 
 
-def contexts(facts: DataFrame, questions: DataFrame, *, classes: list[str] | None = None, budget: int = context.BUDGET, scorer: Callable[[Column, Column], Column] = retrieval.overlap, **legs) -> DataFrame:
+def contexts(facts: DataFrame, questions: DataFrame, *, classes: list[str] | None = None, budget: int = context.BUDGET, scorer: Callable[[Column, Column], Column] = retrieval.overlap, search: Callable[[DataFrame, DataFrame], DataFrame] = retrieval.hybrid) -> DataFrame:
     """``item_id, question, context, used, included`` for every question ``item_id, text, as_of``.
 
     Facts are ``doc_id, text, name, valid_at, expired_at, node``: the best of hybrid search at the question's date, reranked, in
-    sections by ``name``. ``classes`` keeps facts of these classes only. A question that finds nothing has the text NOTHING.
+    sections by ``name``. ``classes`` keeps facts of these classes only; ``search`` may be one over an index of them. A question that finds nothing has the text NOTHING.
     """
     kind = context.classify(F.coalesce("name", F.lit("")))
     own = facts.withColumn("class", kind)
     own = own.where(F.col("class").isin(classes)) if classes is not None else own
-    found = retrieval.hybrid(own, questions, **legs).select("item_id", "doc_id", "rank")
+    found = search(own, questions).select("item_id", "doc_id", "rank")
     asked = questions.select("item_id", F.col("text").alias("question"))
     told = own.select("doc_id", "text", "class", F.date_format(F.col("valid_at").cast("timestamp"), "yyyy-MM-dd").alias("since"))
     best = retrieval.rerank(found.join(told, "doc_id").join(asked, "item_id"), scorer=scorer)
@@ -58,7 +58,7 @@ def contexts(facts: DataFrame, questions: DataFrame, *, classes: list[str] | Non
     packed = context.pack(best.select("item_id", "question", "class", F.col("new_rank").alias("rank"), entry.alias("entry")), budget)
     whole = asked.join(packed, "item_id", "left")
     none = F.col("context").isNull()
-    return whole.select("item_id", "question", F.coalesce("context", F.lit(NOTHING)).alias("context"), F.when(~none, F.col("used")).alias("used"), F.when(none, 0).otherwise(F.col("included")).alias("included"))
+    return whole.select("item_id", "question", F.coalesce("context", F.lit(NOTHING)).alias("context"), F.when(none, 0).otherwise(F.col("used")).alias("used"), F.when(none, 0).otherwise(F.col("included")).alias("included"))
 
 
 def message(question: Column, context_: Column) -> Column:

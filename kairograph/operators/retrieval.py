@@ -193,26 +193,44 @@ def hashed_embedding(text: Column) -> Column:
     return F.pandas_udf(_hashed, "array<float>")(terms(text))
 
 
-def hybrid(facts: DataFrame, questions: DataFrame, n: int = RETRIEVED, *, embed=hashed_embedding, seeds: int = 3) -> DataFrame:
+def dated(facts: DataFrame) -> DataFrame:
+    """Facts ``doc_id, text, node`` with ``low`` and ``high``, the seconds between which they hold; null is open."""
+    return facts.select("doc_id", "text", "node", _second("valid_at").alias("low"), _second("expired_at").alias("high"))
+
+
+def _second(c: str) -> Column:
+    return F.unix_timestamp(F.col(c).cast("timestamp")).cast("double")
+
+
+def asked_at(questions: DataFrame) -> DataFrame:
+    """Questions ``item_id, text`` with ``at``, the second that they ask for; null is any."""
+    return questions.select("item_id", "text", _second("as_of").alias("at"))
+
+
+def hybrid(facts: DataFrame, questions: DataFrame, n: int = RETRIEVED, *, embed=hashed_embedding, seeds: int = 3, words: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """``item_id, doc_id, score, rank``: keyword, vector and graph legs over the facts that hold at each question's date, fused.
 
     Facts are ``doc_id, text, valid_at, expired_at, node`` and questions ``item_id, text, as_of`` (null: any time). A
     fact holds in [valid_at, expired_at), open where null. The graph leg has the facts that share a node
-    with one of the ``seeds`` best keyword hits, by the hit's rank and then by number.
+    with one of the ``seeds`` best keyword hits, by the hit's rank and then by number. ``words`` and ``near`` are the
+    first two legs, where an index answers them (``search.hybrid``).
     """
-    second = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")).cast("double")
-    own = facts.select("doc_id", "text", "node", second("valid_at").alias("low"), second("expired_at").alias("high"))
-    asked = questions.select("item_id", "text", second("as_of").alias("at"))
+    own, asked = dated(facts), asked_at(questions)
     bounds = {"lower": "low", "upper": "high", "at": "at"}
-    words = bm25(own, asked, n, **bounds)
-    near = cosine_search(
-        own.select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding"), "low", "high"),
-        asked.select(F.col("item_id").alias("vec_id"), embed(F.col("text")).alias("embedding"), "at"), n, own=True, **bounds,
-    )
+    words = bm25(own, asked, n, **bounds) if words is None else words
+    if near is None:
+        near = cosine_search(
+            own.select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding"), "low", "high"),
+            asked.select(F.col("item_id").alias("vec_id"), embed(F.col("text")).alias("embedding"), "at"), n, own=True, **bounds,
+        )
     best = words.where(F.col("rank") <= seeds).join(own.select("doc_id", "node"), "doc_id").groupBy("item_id", "node").agg(F.min("rank").alias("seed"))
-    linked = best.join(own.select("doc_id", "node", "low", "high"), "node").join(asked.select("item_id", "at"), "item_id")
-    holds = (F.col("at").isNull() | ((F.col("low").isNull() | (F.col("low") <= F.col("at"))) & (F.col("high").isNull() | (F.col("high") > F.col("at")))))
-    graph = top(linked.where(holds).select("item_id", "doc_id", (-F.col("seed")).alias("score")), "item_id", "doc_id", n)
+    best = best.where(F.col("node").isNotNull()).join(asked.select("item_id", F.coalesce("at", F.lit(float("inf"))).alias("at")), "item_id")
+    # the n first facts of a node are found once for each date, not for each question, and move as n a task
+    linked = best.select("node", "at").distinct().join(own.select("doc_id", "node", "low", "high"), "node")
+    whenever = F.col("at") == float("inf")
+    linked = linked.where(whenever | ((F.col("low").isNull() | (F.col("low") <= F.col("at"))) & (F.col("high").isNull() | (F.col("high") > F.col("at")))))
+    first = linked.withColumn("k", F.row_number().over(Window.partitionBy("node", "at").orderBy("doc_id"))).where(F.col("k") <= n)
+    graph = top(best.join(first, ["node", "at"]).groupBy("item_id", "doc_id").agg(F.max(-F.col("seed")).alias("score")), "item_id", "doc_id", n)
     return fuse([words, near.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank"), graph], "item_id", "doc_id", n)
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kairograph import storage
 from kairograph.functions import text as T
-from kairograph.operators import code, context, graph, ledger, render, retrieval
+from kairograph.operators import assistant, code, context, graph, keyword_index, ledger, render, retrieval, search, vector_index
 from kairograph.sources import transcripts
 from kairograph.streaming import ingest
 
@@ -170,8 +171,22 @@ sc AS (SELECT item_id, doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOU
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 20)"""
 
 
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _indexed(spark, sf_dir, name, build):
+    """The folder of an index over a table, which is built once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _INDEXES:
+        path = storage.shared_path(spark, name)
+        build(path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
 def _bm25(spark, sf_dir):
-    return retrieval.bm25(_t(spark, sf_dir, "documents").select("doc_id", "text"), _t(spark, sf_dir, "benchmark"))
+    path = _indexed(spark, sf_dir, "words", lambda p: keyword_index.add(_t(spark, sf_dir, "documents").select("doc_id", "text"), p, "documents"))
+    return keyword_index.search(spark, path, _t(spark, sf_dir, "benchmark"))
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM bm")
@@ -188,11 +203,12 @@ FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
 def cosine_topk(spark, sf_dir):
     """The query set is every vector whose id 50 divides, against all vectors."""
     vectors = _t(spark, sf_dir, "embeddings")
-    return retrieval.cosine_search(vectors, vectors.where("vec_id % 50 = 0"))
+    path = _indexed(spark, sf_dir, "vectors", lambda p: vector_index.build(vectors, p))
+    return vector_index.search(spark, path, vectors.where("vec_id % 50 = 0"))
 
 
-_HYBRID = f"""q AS (SELECT item_id, text, CASE item_id % 4 WHEN 0 THEN NULL WHEN 1 THEN DATE '2023-06-01' WHEN 2 THEN DATE '2023-12-01' ELSE DATE '2024-06-01' END AS as_of FROM benchmark),
-f AS (SELECT conv_id * 1000 + turn AS doc_id, text, DATE '2023-01-01' + (conv_id % 500)::INTEGER AS valid_at, CASE WHEN turn % 3 > 0 THEN DATE '2023-01-01' + (conv_id % 500 + 200)::INTEGER END AS expired_at, role || (conv_id % 97) AS node FROM conversations),
+_ASKED = "q AS (SELECT item_id, text, CASE item_id % 4 WHEN 0 THEN NULL WHEN 1 THEN DATE '2023-06-01' WHEN 2 THEN DATE '2023-12-01' ELSE DATE '2024-06-01' END AS as_of FROM benchmark)"
+_HYBRID = f"""f AS (SELECT conv_id * 1000 + turn AS doc_id, text, DATE '2023-01-01' + (conv_id % 500)::INTEGER AS valid_at, CASE WHEN turn % 3 > 0 THEN DATE '2023-01-01' + (conv_id % 500 + 200)::INTEGER END AS expired_at, role || (conv_id % 97) AS node FROM conversations),
 ft AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM f),
 qt AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM q),
 ok AS (SELECT item_id, doc_id FROM q, f WHERE as_of IS NULL OR (valid_at <= as_of AND (expired_at IS NULL OR expired_at > as_of))),
@@ -211,17 +227,27 @@ u AS (SELECT item_id, doc_id, rank FROM bm UNION ALL SELECT item_id, doc_id, ran
 fu AS (SELECT item_id, doc_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {_HYBRID} SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM fu) WHERE rank <= 20""")
+@query(f"""WITH {_ASKED}, {_HYBRID} SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM fu) WHERE rank <= 20""")
 def hybrid_topk(spark, sf_dir):
     """Turns of conversations as facts that hold for a time, asked by the benchmark's items, some at a date."""
+    facts = _facts(spark, sf_dir)
+    path = _indexed(spark, sf_dir, "facts", lambda p: search.index(facts, p))
+    return search.hybrid(spark, path, facts, _questions(spark, sf_dir))
+
+
+def _facts(spark, sf_dir):
     day = lambda n: F.date_add(F.lit("2023-01-01").cast("date"), n.cast("int"))
     born = F.col("conv_id") % 500
-    facts = _t(spark, sf_dir, "conversations").select(
+    name = F.element_at(F.array(*[F.lit(x) for x in ("lie", "prend une Décision", "Action", "a un risque", "REUNION")]), (F.col("turn") % 5 + 1).cast("int"))
+    return _t(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", day(born).alias("valid_at"), F.when(F.col("turn") % 3 > 0, day(born + 200)).alias("expired_at"),
-        F.concat("role", F.col("conv_id") % 97).alias("node"),
+        F.concat("role", F.col("conv_id") % 97).alias("node"), name.alias("name"),
     )
+
+
+def _questions(spark, sf_dir):
     at = F.when(F.col("item_id") % 4 == 1, "2023-06-01").when(F.col("item_id") % 4 == 2, "2023-12-01").when(F.col("item_id") % 4 == 3, "2024-06-01").cast("date")
-    return retrieval.hybrid(facts, _t(spark, sf_dir, "benchmark").select("item_id", "text", at.alias("as_of")))
+    return _t(spark, sf_dir, "benchmark").select("item_id", "text", at.alias("as_of"))
 
 
 _FRESH = "fr AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars, doc_id) AS rank FROM bm JOIN documents USING (doc_id)))"
@@ -283,13 +309,30 @@ def context_prefix_per_section(spark, sf_dir):
     return rows.withColumn("used", used).where("used <= 300").select("conv_id", "role", "turn", "used")
 
 
-@query()
+_TOKENS = "greatest(1, floor(len(list_filter(regexp_split_to_array({}, '[\\s\\x1c-\\x1f]+'), lambda x: x <> '')) * 1.3::DOUBLE))::INTEGER"
+_EARLY = _ASKED.replace("CASE item_id % 4", "CASE WHEN item_id % 7 = 3 THEN DATE '2001-01-01' ELSE CASE item_id % 4").replace("END AS as_of", "END END AS as_of")
+
+
+@query(f"""WITH RECURSIVE {_EARLY}, {_HYBRID},
+hy AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fu) WHERE rank <= 20),
+rr AS (SELECT item_id, doc_id, rank, round(len(list_intersect(list_distinct(qt.w), ft.w))::DOUBLE / greatest(len(list_distinct(qt.w)), 1), 6) AS score FROM hy JOIN qt USING (item_id) JOIN ft USING (doc_id)),
+rk AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank) AS rank FROM rr) WHERE rank <= 8),
+en AS (SELECT item_id, rk.rank, CASE (doc_id % 1000) % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 3 END AS s,
+ '- ' || f.text || chr(10) || '  _(date: ' || strftime(f.valid_at, '%Y-%m-%d') || ', source: graph:' || doc_id || ')_' AS entry FROM rk JOIN f USING (doc_id)),
+xs AS (SELECT item_id, s, entry, ['## Faits', '## Décisions', '## Actions', '## Réunions', '## Risques'][s + 1] AS h, 2 AS ht, {_TOKENS.format("entry")} AS t, row_number() OVER (PARTITION BY item_id ORDER BY s, rank) AS k FROM en),
+sp(item_id, k, used, txt, n, s, opened, filled, done) AS (SELECT item_id, 0::BIGINT, {_TOKENS.format("'## Question' || chr(10) || text")}, '## Question' || chr(10) || text, 0, -1, false, false, false FROM q WHERE item_id IN (SELECT item_id FROM xs)
+ UNION ALL SELECT item_id, k, CASE WHEN fits THEN used + charge + t ELSE used END, CASE WHEN fits AND o THEN txt || chr(10) || entry WHEN fits THEN txt || chr(10) || chr(10) || h || chr(10) || entry ELSE txt END,
+ n + fits::INTEGER, s, o OR fits, fu OR NOT fits, d
+ FROM (SELECT *, NOT d AND NOT fu AND used + charge + t <= 3000 AS fits FROM (SELECT *, CASE WHEN o THEN 0 ELSE ht END AS charge FROM
+ (SELECT sp.item_id, xs.k, used, txt, n, xs.s, t, entry, h, ht, xs.s = sp.s AND opened AS o, CASE WHEN xs.s <> sp.s THEN false ELSE filled END AS fu, done OR (xs.s <> sp.s AND used + ht >= 3000) AS d FROM sp JOIN xs ON xs.item_id = sp.item_id AND xs.k = sp.k + 1)))),
+en2 AS (SELECT item_id, max_by(txt, k) AS context, max_by(used, k) AS used, max_by(n, k) AS n FROM sp GROUP BY 1)
+SELECT q.item_id, q.text AS question, coalesce(context, 'Aucun contexte disponible dans le graphe de connaissances.') AS context, coalesce(used, 0) AS used, coalesce(n, 0) AS included FROM q LEFT JOIN en2 USING (item_id)""")
 def context_pack(spark, sf_dir):
-    """Search, rerank, classify by source, and pack for every benchmark question; a test holds it against a plain loop."""
-    best = _reranked(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    kind = F.element_at(F.array(*[F.lit(k) for k, _ in context.SECTIONS]), (F.regexp_extract("source", "[0-9]+", 0).cast("int") % 5) + 1)
-    entry = context.entry_text(F.col("text"), F.concat(F.lit("doc:"), F.col("doc_id")), F.lit(None).cast("int"), F.lit(None).cast("string"))
-    return context.pack(best.select("item_id", "question", kind.alias("class"), F.col("new_rank").alias("rank"), entry.alias("entry")))
+    """The context of every benchmark question: hybrid search at its date, reranked, classified and packed; the fixed text where nothing holds."""
+    facts = _facts(spark, sf_dir)
+    path = _indexed(spark, sf_dir, "facts", lambda p: search.index(facts, p))
+    asked = _questions(spark, sf_dir).withColumn("as_of", F.when(F.col("item_id") % 7 == 3, F.lit("2001-01-01").cast("date")).otherwise(F.col("as_of")))
+    return assistant.contexts(facts, asked, search=lambda own, asked: search.hybrid(spark, path, own, asked))
 
 
 # --- sources and rendering ------------------------------------------------
