@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ SAMPLE = 3
 #: Sizes of the items in a class differ by this factor at most.
 SPREAD = 1.2
 #: Edited copies of a class' items from which its number of tables follows, and tables that are tried on them at a time.
-COPIES, TRIED = 256, 16
+COPIES, TRIED = 256, 8
 #: Items (40 bytes a table each, and so 256 MB at the most tables), and bytes of items, whose index is broadcast at once; more items are gone through in blocks.
 ITEMS, ITEM_BYTES = 50_000, 4 << 20
 #: Words of documents that are embedded at once.
@@ -240,8 +241,24 @@ def distances(places: dict[int, int], m: int, text: list[int], anchored: bool =
 
 
 def least_edits(places: dict[int, int], m: int, text: list[int]) -> int:
-    """The distance that ``align`` gives."""
-    return min(distances(places, m, text))
+    """The distance that ``align`` gives; the loop of ``distances`` once more, as most windows end here."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    best, get = m, places.get
+    for word in text:
+        eq = get(word, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | ~(diagonal | up) & full, up & diagonal
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+            if score < best:
+                best = score
+        vertical = eq | down
+        plus, minus = plus << 1 & full, minus << 1 & full
+        up, down = (minus | ~(vertical | plus)) & full, plus & vertical
+    return best
 
 
 def align_long(item: list[int], text: list[int]) -> tuple[int, int, int]:
@@ -333,7 +350,7 @@ def find(items: Items, texts: list[bytes]) -> list[list[tuple[int, int, int, int
             if b <= a or any(x <= at + k and at - k <= y for x, y in done.get((i, item), ())):
                 continue  # the window is seen already
             window = ids[a:b].tolist()
-            if sum(x in places[item] for x in window) >= m - k and least_edits(places[item], m, window) <= k:
+            if sum(map(places[item].__contains__, window)) >= m - k and least_edits(places[item], m, window) <= k:
                 d, s, e = (align_long if m > LONG else align)(lists[item], window)
                 text, base, place = where[i]
                 out[text].append((item, a + s - place + base, a + e - place + base, d))
@@ -345,7 +362,7 @@ def find(items: Items, texts: list[bytes]) -> list[list[tuple[int, int, int, int
         base, tail = 0, np.zeros(0, dtype=np.int64)
         for words in word_blocks(data):
             get = items.number.get
-            ids = np.concatenate([tail, np.array([get(w, 0) for w in words], dtype=np.int64)])
+            ids = np.concatenate([tail, np.array(list(map(get, words, repeat(0))), dtype=np.int64)])
             where.append((t, base, size))
             parts += [ids, gap]
             size += len(ids) + _GAP
