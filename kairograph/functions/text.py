@@ -26,6 +26,23 @@ def parse_iso(value: Column) -> Column:
     return F.try_to_timestamp(value)
 
 
+def as_of_date(value: Column) -> Column:
+    """Timestamp of an ISO date that a user gives, null without one; a text that is none is an error that names it."""
+    bad = F.raise_error(F.concat(F.lit("not an ISO date: "), value)).cast("timestamp")
+    return F.when(F.trim(value) == "", None).otherwise(F.coalesce(parse_iso(value), F.when(value.isNotNull(), bad)))
+
+
+def comma_list(value: Column) -> Column:
+    """The items of a list with commas, trimmed, without blank ones; empty for null."""
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def sheet_name(name: Column, other: str = "Feuille1") -> Column:
+    """The name of a sheet: 31 characters at most."""
+    cut = F.substring(F.coalesce(name, F.lit("")), 1, 31)
+    return F.when(cut == "", other).otherwise(cut)
+
+
 def parse_pdf_date(value: Column) -> Column:
     """Timestamp of ``D:YYYYMMDD[HHmmSS]``; the zone is ignored, fewer than 8 digits give null."""
     digits = F.regexp_extract(value, r"^(?:D:)?([0-9]{8,14})", 1)
@@ -81,7 +98,7 @@ def json_block(raw: Column) -> Column:
 
 
 def table_row(cells: Column) -> Column:
-    return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\|", r"\\\\|")), " | "), F.lit(" |"))
+    return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
 
 
 def node_id(prefix: str, name: Column) -> Column:

@@ -48,6 +48,35 @@ def as_of(facts: DataFrame, when, at: str = "valid_at", *, strict_expired: bool
     return facts.where((F.col(at) <= when) & (later if strict_expired else F.col("expired_at").isNull() | later))
 
 
+def as_of_many(facts: DataFrame, dates: DataFrame, *, low: str = "valid_at", high: str = "expired_at", at: str = "as_of", unit: int = 86400, levels: int = 17) -> DataFrame:
+    """Each date of ``dates`` with the facts that hold at it, half-open intervals, null being open: all columns of both.
+
+    Time is cut into bins of ``unit`` seconds, two of which make a bin of the next level. An interval is the sum of at most two
+    bins a level, and a date lies in one a level, so that both meet by an equi-join on bins, however long
+    intervals are; the exact bounds decide in the bins that they cut. Dates and bounds lie within 2 ** levels
+    units around 1970. A null date is in no interval.
+    """
+    half = 1 << (levels - 1)
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
+    bin_ = lambda c, up: F.when(F.col(c).isNotNull(), F.least(F.greatest((F.ceil if up else F.floor)(seconds(c) / unit) + half, F.lit(0)), F.lit(2 * half))).cast("long")
+    first, last = F.coalesce(bin_(low, False), F.lit(0).cast("long")), F.coalesce(bin_(high, True), F.lit(2 * half).cast("long"))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__k"))
+    spread = facts.withColumns({"__first": first, "__last": last}).withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    spread = spread.withColumns({"__l": F.ceil(F.col("__first") / size).cast("long"), "__r": F.floor(F.col("__last") / size).cast("long")}).where("__l < __r")
+    odd = lambda c: F.col(c) % 2 == 1
+    ends = F.array_compact(F.array(F.when(odd("__l"), F.col("__l")), F.when(odd("__r"), F.col("__r") - 1)))
+    spread = spread.withColumn("__bin", F.explode(F.array_distinct(ends))).drop("__first", "__last", "__l", "__r")
+    own = dates.where(F.col(at).isNotNull()).withColumn("__at", bin_(at, False)).withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    own = own.withColumn("__bin", F.floor(F.col("__at") / size).cast("long")).drop("__at")
+    holds = (F.col(low).isNull() | (F.col(low).cast("timestamp") <= F.col(at).cast("timestamp"))) & (F.col(high).isNull() | (F.col(high).cast("timestamp") > F.col(at).cast("timestamp")))
+    return own.join(spread, ["__k", "__bin"]).where(holds).drop("__k", "__bin")
+
+
+def candidates(edges: DataFrame) -> DataFrame:
+    """Edges as a search returns them: ``uuid, fact, edge_name, valid_at, invalid_at``."""
+    return edges.select("uuid", "fact", F.col("name").alias("edge_name"), "valid_at", "invalid_at")
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """``node, depth``: nodes within ``depth`` steps of the seeds over undirected ``a, b``, at their least depth.
 

@@ -249,6 +249,11 @@ def overlap(question: Column, text: Column) -> Column:
     return F.round(F.size(F.array_intersect(q, terms(text))) / F.greatest(F.size(q), F.lit(1)), 6)
 
 
+def best_scores(ranked: DataFrame, by: str = "item_id", score: str = "rerank_score") -> DataFrame:
+    """The best score and the number of candidates of each question."""
+    return ranked.groupBy(by).agg(F.max(score).alias("best"), F.count(F.lit(1)).alias("candidates"))
+
+
 def rerank(candidates: DataFrame, n: int = RERANKED, scorer=overlap) -> DataFrame:
     """Candidates ``item_id, question, doc_id, text, rank`` by the scorer, ties by their former rank."""
     order = Window.partitionBy("item_id").orderBy(F.desc("rerank_score"), F.asc("rank"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kairograph.plans import written  # noqa: F401  (registers its queries)
 from kairograph.plans.queries import QUERIES, SQL
 
 
