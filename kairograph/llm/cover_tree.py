@@ -45,6 +45,9 @@ class Node:
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
+    most = np.abs(x).max(axis=1, initial=0)
+    far = (most > 1e150) | (most < 1e-150)  # squares would overflow or vanish
+    x[far] /= most[far, None]
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -178,7 +181,7 @@ _BLOCK = "label long, dim int, cell long, part long, center array<double>, radiu
 
 def _to_block(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("nid")
-    v = np.stack(part["v"].tolist()).astype("<f4")
+    v = np.stack(part["v"].tolist())  # floats or doubles, as they came
     x = unit(v)
     first = part.iloc[0]
     radius = float(np.sqrt(np.maximum(0, 2 - 2 * (x @ x[0]))).max())
@@ -196,7 +199,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE) -> DataFrame:
     then they aren't kept. Repeated vec_ids keep a row each.
     """
     limit = float(np.sqrt(2 - 2 * cosine)) + _SLACK
-    v = F.col("embedding").cast("array<float>")
+    v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     valid = F.col("label").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0)
     rows = staged(vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), v.alias("v")).withColumn("valid", F.coalesce(valid, F.lit(False))), "embedding_rows")
@@ -224,7 +227,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE) -> DataFrame:
             for r in batch.itertuples():
                 ids = [np.frombuffer(x, dtype="<i8") for x in (r.ids_a, r.ids_b)]
                 mults = [np.frombuffer(x, dtype="<i8") for x in (r.mults_a, r.mults_b)]
-                vs = [unit(np.frombuffer(x, dtype="<f4").reshape(-1, r.dim)) for x in (r.vs_a, r.vs_b)]
+                vs = [unit(np.frombuffer(x, dtype=f"<f{len(x) // (len(i) * r.dim)}").reshape(-1, r.dim)) for x, i in zip((r.vs_a, r.vs_b), ids, strict=True)]
                 same = (r.cell_a, r.part_a) == (r.cell_b, r.part_b)
                 yield link_blocks(ids[0], vs[0], mults[0], ids[1], vs[1], mults[1], same, cosine)
 

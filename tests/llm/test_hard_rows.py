@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from kairograph.llm import decontaminate, line_dedup, pii, secret_scan
+from kairograph.llm import cover_tree, decontaminate, line_dedup, pii, secret_scan
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -100,9 +100,6 @@ def test_windows_are_scanned_where_tables_do_not_reach_the_recall(monkeypatch):
             assert i in {x[0] for x in decontaminate.find(index, [text.encode(), b"clean"])[0]}
 
 
-THAI = "".join(chr(0x0E01 + random.Random(8).randrange(46)) if i % 7 else "่" for i in range(4000))
-
-
 def test_texts_without_blanks_lose_what_repeats(spark):
     draw = random.Random(9)
     thai = "".join(chr(draw.randrange(0x0E01, 0x0E2F)) for _ in range(4000))
@@ -116,3 +113,10 @@ def test_texts_without_blanks_lose_what_repeats(spark):
         assert left.startswith(fresh) and len(left) < len(fresh) + 700  # up to the first cut that both have
     cut = line_dedup.chunk_arrays(b"z" * 50_000)
     assert len(cut[0]) > 100
+
+
+def test_doubles_stay_doubles(spark):
+    rows = [(1, [1e39, 1.0]), (2, [1e39, 1.0]), (3, [1e-50, 0.0]), (4, [5e-324, 0.0]), (5, [1e300, 1e300]), (6, [1.0, 1.0]), (7, [1.0, 1.0 + 1e-12]), (8, [0.0, 0.0]), (9, [0.0, -1e308]), (10, None)]
+    clash = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], "vec_id long, embedding array<double>, label int, kept string, n_links int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in cover_tree.near_duplicates(clash).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 4: (3, 1, False), 5: (2, 5, True), 6: (2, 5, False), 7: (2, 5, False), 8: (0, 8, True), 9: (0, 9, True), 10: (0, 10, True)}
