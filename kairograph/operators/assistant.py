@@ -65,17 +65,17 @@ def message(question: Column, context_: Column) -> Column:
     return F.concat(F.lit("Contexte :\n"), context_, F.lit("\n\nQuestion : "), question, F.lit(f"\n\nRéponds en JSON selon ce schéma :\n{SCHEMA}"))
 
 
-def parsed(said: str) -> dict:
-    """The answer in a model's text, bare or in a fenced block; ValueError where it isn't one."""
+def parsed(said: str, text: str = "resume", lists: tuple[str, ...] = KEYS) -> dict:
+    """The answer in a model's text, bare or in a fenced block: an object with a ``text`` and ``lists`` of texts; ValueError where it isn't one."""
     body = said.strip()
     if body.startswith("```"):
         lines = body.splitlines()
         ends = [i for i, line in enumerate(lines) if i and line.strip() == "```"]
         body = "\n".join(lines[1 : ends[-1] if ends else len(lines) - 1])
     found = json.loads(body)
-    if not isinstance(found, dict) or not isinstance(found.get("resume"), str):
-        raise ValueError("no resume")
-    for key in KEYS:
+    if not isinstance(found, dict) or not isinstance(found.get(text), str):
+        raise ValueError(f"no {text}")
+    for key in lists:
         if not isinstance(found.get(key, []), list) or not all(isinstance(x, str) for x in found.get(key, [])):
             raise ValueError(f"{key} is no list of texts")
     return found
@@ -119,8 +119,8 @@ class Kept:
         self.files.move(part, f"{self.path}/{name}")
 
 
-def ask(prompts: DataFrame, client: Client, kept: str, *, rate: float | None = None, tasks: int = 8, column: str = "message") -> DataFrame:
-    """All columns, and ``raw, error, calls``: what the model said to each prompt.
+def ask(prompts: DataFrame, client: Client, kept: str, *, rate: float | None = None, tasks: int = 8, column: str = "message", system: str = SYSTEM, check: Callable[[str], dict] = parsed) -> DataFrame:
+    """All columns, and ``raw, error, calls``: what the model said to each prompt. ``check`` raises ValueError for what is no answer.
 
     An answer that doesn't parse is asked for once more; then, or if the client raises, ``error`` says why. Answers are kept below ``kept``; failures aren't, and are
     tried again by another run. ``rate`` bounds the calls a second of all ``tasks`` together. Equal prompts are asked once a task.
@@ -134,10 +134,10 @@ def ask(prompts: DataFrame, client: Client, kept: str, *, rate: float | None = N
             if rate:
                 time.sleep(max(0.0, last[0] + tasks / rate - time.monotonic()))
                 last[0] = time.monotonic()
-            return client(SYSTEM, text)
+            return client(system, text)
 
         def answer(text: str) -> tuple[str | None, str | None, int]:
-            name = hashlib.sha256(f"{SYSTEM}\0{text}".encode()).hexdigest()
+            name = hashlib.sha256(f"{system}\0{text}".encode()).hexdigest()
             if (said := store.get(name)) is not None:
                 return said, None, 0
             for attempt in (1, 2):
@@ -146,7 +146,7 @@ def ask(prompts: DataFrame, client: Client, kept: str, *, rate: float | None = N
                 except Exception as e:
                     return None, f"{type(e).__name__}: {e}", attempt
                 try:
-                    parsed(said)
+                    check(said)
                 except (ValueError, RecursionError) as e:
                     problem = f"not parseable after {attempt} attempts: {e}"
                 else:

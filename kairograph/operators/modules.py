@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.functions.text import first_bytes, node_id
+from kairograph.functions.text import first_bytes, json_block, node_id
+from kairograph.operators import assistant
+from kairograph.sources import named
 
 #: What a writer adds to the facts of a module: the payload's fields that are empty at first.
 WRITTEN = "description string, composants array<string>, flux array<string>, regles_metier array<string>, risques array<string>"
@@ -105,6 +107,34 @@ def completed(texts: DataFrame, column: str = "value") -> DataFrame:
     return texts.select(F.from_json(column, PAYLOAD).alias("x")).where(F.col("x.module_name").isNotNull()).select("x.*")
 
 
+# The keys that a writer fills, as it is told them.
+LISTS = ("composants", "flux", "regles_metier", "risques")
+SYSTEM = (
+    "Tu documentes des modules de code. Décris seulement ce que montrent les éléments structurels donnés. "
+    "Réponds en JSON valide avec exactement les clés : description, composants, flux, regles_metier, risques. Ne génère aucun texte en dehors du JSON."
+)
+SCHEMA = """{
+  "description": "description fonctionnelle du module",
+  "composants": ["composant 1"],
+  "flux": ["flux 1"],
+  "regles_metier": ["règle 1"],
+  "risques": ["risque 1"]
+}"""
+
+
+def generate(found: DataFrame, client: assistant.Client, kept: str, *, rate: float | None = None, tasks: int = 8) -> DataFrame:
+    """Documents of modules whose descriptions a model has written, and ``error``: where the model fails, or says no JSON twice, the document is what the source alone gives.
+
+    A prompt has a module's structure, never its code.
+    """
+    told = base(found)
+    asked = F.concat(F.lit("Voici les éléments structurels du module '"), "module_name", F.lit("' :\n\n"), "contexte", F.lit(f"\n\nGénère la documentation fonctionnelle en JSON selon ce schéma :\n{SCHEMA}"))
+    said = assistant.ask(told.withColumn("message", asked), client, kept, rate=rate, tasks=tasks, system=SYSTEM, check=lambda text: assistant.parsed(text, "description", LISTS))
+    written = F.when(F.col("error").isNull(), F.from_json(json_block(F.col("raw")), WRITTEN))
+    filled = {c: F.coalesce(written[c], F.col(c)) for c in ("description", *LISTS)}
+    return said.withColumns(filled).select(*[c for c in told.columns if c != "contexte"], "error")
+
+
 def page() -> Column:
     """A module's document as Markdown with front matter; sections without content are left out but for the description."""
     coded = lambda xs: F.transform(xs, lambda x: F.concat(F.lit("`"), x, F.lit("`")))
@@ -127,5 +157,12 @@ def page() -> Column:
 
 
 def write_pages(pages: DataFrame, path: str, column: Column | None = None) -> None:
-    """A text file of its own folder for each module (``module_name=...``)."""
-    pages.select("module_name", (column if column is not None else page()).alias("value")).write.mode("overwrite").partitionBy("module_name").text(path)
+    """A file ``<module>.md`` for each module; of modules of equal name each has its own."""
+    text = column if column is not None else page()
+    named.write(pages.select(F.concat("module_name", F.lit(".md")).alias("name"), text.alias("value"), F.col("file_path").alias("key")), path)
+
+
+def write_payloads(pages: DataFrame, path: str) -> None:
+    """A file ``<module>.json`` with the payload of each base document."""
+    value = F.to_json(F.struct(*pages.columns))
+    named.write(pages.select(F.concat("module_name", F.lit(".json")).alias("name"), value.alias("value"), F.col("file_path").alias("key")), path)
