@@ -14,10 +14,10 @@ A batch counts once its last file, the statistics, is written; done again, it re
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,9 @@ from kairograph import storage
 from kairograph.operators import retrieval
 
 #: Documents of a part (on average), parts of a segment, and folders by term.
-PART, PARTS, BUCKETS = 64, 128, 32
+PART, PARTS, BUCKETS = 64, 16, 32
+#: Documents that a task handles, where there are more tasks than cores.
+TASK_DOCS = 100_000
 #: Questions that are answered at once.
 QUESTION_BLOCK = 512
 #: Terms up to which the readers get them as a filter, in lists as short as readers push down.
@@ -37,15 +39,34 @@ def batches(spark: SparkSession, path: str) -> list[str]:
     return [x.partition("=")[2] for x in storage.names(spark, f"{path}/statistics") if "_SUCCESS" in storage.names(spark, f"{path}/statistics/{x}")]
 
 
-def _counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each distinct term of a document."""
-    for batch in rows:
-        counts = [Counter(w) for w in batch["w"]]
-        many = [len(c) for c in counts]
-        out = {c: np.repeat(batch[c].to_numpy(), many) for c in batch.columns if c != "w"}
-        out["term"] = pd.Series([t for c in counts for t in c], dtype=object)
-        out["tf"] = np.array([n for c in counts for n in c.values()], dtype=np.int32)
-        yield pd.DataFrame(out)
+def _blocks(docs: pa.Table) -> pa.Table:
+    """The blocks of a part's documents: postings by term, in arrays."""
+    terms, tf, many = [], [], []
+    for w in docs.column("w").to_pylist():
+        counts = Counter(w)
+        terms += counts.keys()
+        tf += counts.values()
+        many.append(len(counts))
+    code, known = pd.factorize(np.array(terms, dtype=object), sort=True)
+    order = np.argsort(code, kind="stable")
+    row, tf = np.repeat(np.arange(len(many)), many)[order], np.array(tf, dtype=np.int32)[order]
+    starts = np.searchsorted(code[order], np.arange(len(known)))
+    offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
+    column = lambda name: docs.column(name).combine_chunks().take(pa.array(row))
+    own = {name: pa.ListArray.from_arrays(offsets, column(name)) for name in ("doc_id", "len", "low", "high")}
+    length = docs.column("len").to_numpy()[row]
+    part = docs.column("part")[0].as_py()
+    reduced = lambda f, x: pa.array(f.reduceat(x, starts) if len(starts) else x[:0], pa.int32())
+    return pa.table({
+        "term": pa.array(known.tolist(), pa.string()), "part": pa.array(np.full(len(known), part, dtype=np.int32)), "max_tf": reduced(np.maximum, tf), "min_len": reduced(np.minimum, length),
+        "words": pa.array(np.add.reduceat(tf.astype(np.int64), starts) if len(starts) else np.zeros(0, dtype=np.int64)),
+        "n": pa.array(np.diff(np.append(starts, len(order))).astype(np.int32)), "doc_id": own["doc_id"], "tf": pa.ListArray.from_arrays(offsets, pa.array(tf)), "len": own["len"], "low": own["low"], "high": own["high"],
+    })
+
+
+def _tasks(spark: SparkSession, groups: int, docs: int) -> int:
+    """Tasks for so many groups: the work is in Python, so that few bytes are no reason for few tasks."""
+    return max(1, min(groups, max(2 * spark.sparkContext.defaultParallelism, -(-docs // TASK_DOCS))))
 
 
 def add(docs: DataFrame, path: str, batch: str, *, lower: str | None = None, upper: str | None = None) -> None:
@@ -63,18 +84,17 @@ def add(docs: DataFrame, path: str, batch: str, *, lower: str | None = None, upp
         if twice := others.join(docs.select("doc_id"), "doc_id", "left_semi").limit(1).collect():
             raise ValueError(f"document {twice[0][0]} is in another batch")
     rows.select("doc_id").write.mode("overwrite").parquet(f"{path}/documents/batch={batch}")
-    total = rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("w")), F.lit(0)).cast("long").alias("words"))
-    docs_, words = total.first()
+    docs_ = docs.count()
     parts = max(1, -(-docs_ // PART))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
     kind = dict(docs.dtypes)["doc_id"]
-    each = rows.select("doc_id", "w", F.size("w").alias("len"), "low", "high", part.alias("part")).mapInPandas(_counted, f"doc_id {kind}, len int, low double, high double, part int, term string, tf int")
-    posting = F.struct("doc_id", "tf", "len", "low", "high")
-    blocks = each.groupBy("term", "part").agg(F.array_sort(F.collect_list(posting)).alias("p"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))  # about PART rows
-    own = [F.col(f"p.{c}").alias(c) for c in ("doc_id", "tf", "len", "low", "high")]
+    schema = f"term string, part int, max_tf int, min_len int, words long, n int, doc_id array<{kind}>, tf array<int>, len array<int>, low array<double>, high array<double>"
+    own = rows.where(F.size("w") > 0).select("doc_id", "w", F.size("w").alias("len"), "low", "high", part.alias("part"))
+    blocks = own.repartition(_tasks(spark, parts, docs_), "part").groupBy("part").applyInArrow(_blocks, schema)  # about PART documents
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    blocks = blocks.select(bucket, "term", F.expr(f"part div {PARTS}").cast("long").alias("segment"), "part", "max_tf", "min_len", F.size("p").alias("n"), *own)
+    blocks = blocks.select(bucket, "*", F.expr(f"part div {PARTS}").cast("long").alias("segment"))
     blocks.repartition("bucket", F.expr("part div 4096")).sortWithinPartitions("bucket", "term", "part").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+    words = spark.read.schema("words long").parquet(f"{path}/postings/batch={batch}").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     spark.createDataFrame([(docs_, words)], "docs long, words long").coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics/batch={batch}")
 
 
@@ -126,7 +146,8 @@ def search(spark: SparkSession, path: str, questions: DataFrame, n: int = retrie
         shared = spark.sparkContext.broadcast((
             number, np.array([idf[t] for t in sorted(idf)]), size["words"] / size["docs"], np.array(pairs, dtype=np.int64).reshape(-1, 2),
             np.array([r["item_id"] for r in items], dtype=object), np.array([np.nan if r["at"] is None else r["at"] for r in items], dtype=np.float64)))
-        best = rows.groupBy("batch", "segment").applyInPandas(_segment(shared, n, skipped), schema)
+        tasks = _tasks(spark, -(-size["docs"] // (PART * PARTS)), size["docs"])
+        best = rows.repartition(tasks, "batch", "segment").groupBy("batch", "segment").applyInArrow(_segment(shared, n, skipped, _arrow(kinds)), schema)
         found = found.unionByName(best)
     return retrieval.top(found, "item_id", "doc_id", n)
 
@@ -136,34 +157,41 @@ def _weight(tf, length, avgdl: float):
     return tf * (retrieval.K1 + 1) / (tf + retrieval.K1 * (1 - retrieval.B + retrieval.B * length / avgdl))
 
 
-def _segment(shared, n: int, skipped):
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
+def _arrow(kind: str) -> pa.DataType:
+    """Arrow's type of a simple SQL type."""
+    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.string())
+
+
+def _segment(shared, n: int, skipped, item_type: pa.DataType):
+    def best(rows: pa.Table) -> pa.Table:
         number, idf, avgdl, pairs, items, at = shared.value
         first = np.searchsorted(pairs[:, 0], np.arange(len(idf) + 1))
-        term = rows["term"].map(number).to_numpy(dtype=np.int64)
-        parts, part = np.unique(rows["part"].to_numpy(), return_inverse=True)
+        doc_type = rows.schema.field("doc_id").type.value_type
+        rows = rows.take(pa.array(np.argsort(rows.column("part").to_numpy(), kind="stable"))).combine_chunks()  # the blocks of a part lie together
+        term = np.array([number[t] for t in rows.column("term").to_pylist()], dtype=np.int64)
+        parts, part = np.unique(rows.column("part").to_numpy(), return_inverse=True)
         bound = np.zeros((len(items), len(parts)))
-        most = idf[term] * _weight(rows["max_tf"].to_numpy(dtype=np.float64), rows["min_len"].to_numpy(dtype=np.float64), avgdl)
+        most = idf[term] * _weight(rows.column("max_tf").to_numpy().astype(np.float64), rows.column("min_len").to_numpy().astype(np.float64), avgdl)
         asking = [pairs[first[t] : first[t + 1], 1] for t in term]
         np.add.at(bound, (np.concatenate(asking), np.repeat(part, [len(a) for a in asking])), np.repeat(most, [len(a) for a in asking]))
         order = np.argsort(-bound.sum(axis=0), kind="stable")
-        of = np.argsort(part, kind="stable")
-        opens = np.searchsorted(part[of], np.arange(len(parts) + 1))
+        opens = np.searchsorted(part, np.arange(len(parts) + 1))
+        sizes = rows.column("n").to_numpy()
+        places = np.append(0, np.cumsum(sizes))  # of each block's postings
+        columns = [pa.chunked_array([c.flatten() for c in rows.column(name).chunks]).to_numpy() for name in ("doc_id", "tf", "len", "low", "high")]
         least, kept, seen, left_out = np.full(len(items), -np.inf), [[] for _ in items], 0, 0
-        columns = [rows[c].to_numpy() for c in ("doc_id", "tf", "len", "low", "high")]
         for p in order.tolist():
             asks = bound[:, p] > 0
             active = asks & (bound[:, p] >= least - 1e-5)  # scores are rounded
             seen, left_out = seen + int(asks.sum()), left_out + int((asks & ~active).sum())
             if not active.any():
                 continue
-            own = of[opens[p] : opens[p + 1]]
-            sizes = [len(columns[0][i]) for i in own]
-            ids, tf, length, low, high = (np.concatenate([c[i] for i in own]) for c in columns)
+            own = slice(opens[p], opens[p + 1])
+            ids, tf, length, low, high = (c[places[opens[p]] : places[opens[p + 1]]] for c in columns)
             docs, doc = np.unique(ids, return_inverse=True)
             spot = np.zeros(len(docs), dtype=np.int64)
             spot[doc] = np.arange(len(ids))
-            t = np.repeat(term[own], sizes)
+            t = np.repeat(term[own], sizes[own])
             adds = idf[t] * _weight(tf.astype(np.float64), length.astype(np.float64), avgdl)
             many = first[t + 1] - first[t]
             q = pairs[np.repeat(first[t], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), 1]
@@ -180,6 +208,7 @@ def _segment(shared, n: int, skipped):
             skipped[0].add(seen)
             skipped[1].add(left_out)
         out = [(items[i], d, -s) for i, xs in enumerate(kept) for s, d in xs]
-        return pd.DataFrame({"item_id": pd.Series([x[0] for x in out], dtype=object), "doc_id": pd.Series([x[1] for x in out], dtype=object), "score": np.array([x[2] for x in out], dtype=np.float64)})
+        plain = lambda x: x.item() if isinstance(x, np.generic) else x
+        return pa.table({"item_id": pa.array([plain(x[0]) for x in out], item_type), "doc_id": pa.array([plain(x[1]) for x in out], doc_type), "score": pa.array([float(x[2]) for x in out], pa.float64())})
 
     return best

@@ -35,7 +35,9 @@ def phase_date(question: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Words of a text, lower-cased; none of a null one."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    ascii_ = F.split(low, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # the same, which Java's engine tests far faster
+    return F.array_remove(F.when(F.octet_length(low) == F.length(low), ascii_).otherwise(F.split(low, r"[^\p{L}\p{N}]+")), "")
 
 
 def top(scored: DataFrame, by: str, item: str, n: int, score: str = "score") -> DataFrame:

@@ -23,6 +23,8 @@ from kairograph.operators import retrieval
 
 #: Pivots of a length: the root of its vectors, but no more than fit in so many bytes.
 PIVOT_BYTES = 32 << 20
+#: Vectors of which a task writes so many at most, if a cell has most of them.
+FILE_ROWS = 1_000_000
 #: Rings of a cell are so wide.
 WIDTH = 0.05
 #: Query vectors that are searched at once.
@@ -60,7 +62,8 @@ def build(vectors: DataFrame, path: str, *, lower: str | None = None, upper: str
         written = dealt if written is None else written.unionByName(dealt)
     if written is None:
         return
-    written.repartition("dim", "cell", "ring").sortWithinPartitions("dim", "cell", "ring").write.partitionBy("dim", "cell").parquet(f"{path}/vectors")
+    pieces = -(-rows.count() // FILE_ROWS)
+    written.repartition("dim", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, pieces)))).sortWithinPartitions("dim", "cell", "ring").write.partitionBy("dim", "cell").parquet(f"{path}/vectors")
     read = spark.read.parquet(f"{path}/vectors")
     rings = read.groupBy("dim", "cell", "ring").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.count(F.lit(1)).alias("n"))
     rings.coalesce(1).write.parquet(f"{path}/rings")  # a row per ring: pivots times 2 / WIDTH at most
