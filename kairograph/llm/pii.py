@@ -40,7 +40,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_RUN = re.compile(r"[A-Za-z0-9@._+/-]{6,}+")
+_RUN = re.compile(r"(?<![A-Za-z0-9@._+/-])[A-Za-z._+/-]*+[0-9@][A-Za-z0-9@._+/-]*+")  # whole runs with a digit or an @: others aren't seen in Python
 _START = re.compile(r"(?<![\w@.+-])[A-Za-z0-9]")  # of a token within a run
 _INNER = "@._+/-"  # signs that end no token
 _FOLD = bytes.maketrans(b"123456789", b"000000000")
