@@ -201,7 +201,7 @@ def test_code_documents(spark, tmp_path):
     assert text.startswith("---\nmodule: svc\nlanguage: python\ntags: [code, python, reverse-engineering]\n---\n\n# svc\n\n## Description fonctionnelle\n\n_Aucune description générée._\n\n## Diagramme\n")
     assert text.endswith("## Composants\n\n- `Svc`\n\n## Flux\n\n- **Événements publiés** : `DoneEvent`\n\n## Risques / dette technique\n\n- dette\n\n## Sources\n\n- `d/svc.py:1-4 (Svc)`\n")
     modules.write_pages(again, str(tmp_path / "pages"))
-    assert (tmp_path / "pages" / "module_name=svc").is_dir()
+    assert (tmp_path / "pages" / "svc.md").read_text().startswith("---\nmodule: svc\n")
 
 
 def test_markdown_tables_are_one_block(spark):
