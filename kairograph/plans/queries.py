@@ -94,13 +94,13 @@ def ingest_totals(spark, sf_dir):
 _FACTS = "SELECT event_id, user_id, event_type, ts, value, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS expired_at FROM events"
 
 
-def _facts(spark, sf_dir):
+def _event_facts(spark, sf_dir):
     return graph.with_expiry(_t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", "value"), ["user_id", "event_type"], "ts", "event_id")
 
 
 @query(f"""WITH f AS ({_FACTS}) SELECT event_id, user_id, event_type, value FROM f WHERE ts <= TIMESTAMP '{WHEN}' AND (expired_at IS NULL OR expired_at > TIMESTAMP '{WHEN}')""")
 def asof_facts(spark, sf_dir):
-    return graph.as_of(_facts(spark, sf_dir), F.to_timestamp_ntz(F.lit(WHEN)), "ts").select("event_id", "user_id", "event_type", "value")
+    return graph.as_of(_event_facts(spark, sf_dir), F.to_timestamp_ntz(F.lit(WHEN)), "ts").select("event_id", "user_id", "event_type", "value")
 
 
 @query(f"""WITH f AS ({_FACTS}) SELECT event_id, user_id, event_type, value FROM f WHERE ts <= TIMESTAMP '{WHEN}' AND expired_at > TIMESTAMP '{WHEN}'""")
