@@ -105,7 +105,7 @@ def asof_facts(spark, sf_dir):
 
 @query(f"""WITH f AS ({_FACTS}) SELECT event_id, user_id, event_type, value FROM f WHERE ts <= TIMESTAMP '{WHEN}' AND expired_at > TIMESTAMP '{WHEN}'""")
 def asof_facts_strict(spark, sf_dir):
-    return graph.as_of(_facts(spark, sf_dir), F.to_timestamp_ntz(F.lit(WHEN)), "ts", strict_expired=True).select("event_id", "user_id", "event_type", "value")
+    return graph.as_of(_event_facts(spark, sf_dir), F.to_timestamp_ntz(F.lit(WHEN)), "ts", strict_expired=True).select("event_id", "user_id", "event_type", "value")
 
 
 @query("""WITH q AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'PR ' || (item_id % 7) ELSE 'sprint' || (item_id % 6) END || ': ' || text AS question FROM benchmark),

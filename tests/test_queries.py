@@ -31,3 +31,20 @@ def by_spark(spark, name):
 def test_facts_of_events_as_of_a_date(spark):
     got = by_spark(spark, "asof_facts")
     assert got and got == by_sql("asof_facts")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_facts_of_events_that_expire_later(spark):
+    got = by_spark(spark, "asof_facts_strict")
+    assert got and got == by_sql("asof_facts_strict")
+
+
+def test_no_function_of_the_queries_hides_another():
+    import ast
+
+    from kairograph.plans import queries, written
+
+    for module in (queries, written):
+        with open(module.__file__) as file:
+            names = [x.name for x in ast.parse(file.read()).body if isinstance(x, ast.FunctionDef)]
+        assert sorted(names) == sorted(set(names))
