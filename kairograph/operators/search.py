@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kairograph import storage
 from kairograph.operators import keyword_index, retrieval, vector_index
 
 
@@ -18,6 +19,6 @@ def index(facts: DataFrame, path: str, *, embed=retrieval.hashed_embedding) -> N
 def hybrid(spark: SparkSession, path: str, facts: DataFrame, questions: DataFrame, n: int = retrieval.RETRIEVED, *, embed=retrieval.hashed_embedding, seeds: int = 3) -> DataFrame:
     """The result of ``retrieval.hybrid``; two legs read what the indexes keep of the questions' terms and of their vectors' surroundings."""
     asked = retrieval.asked_at(questions)
-    words = keyword_index.search(spark, f"{path}/words", asked, n, at="at")
+    words = storage.staged(keyword_index.search(spark, f"{path}/words", asked, n, at="at"), "word_hits")  # they are used twice; n rows a question
     near = vector_index.search(spark, f"{path}/vectors", asked.select(F.col("item_id").alias("vec_id"), embed(F.col("text")).alias("embedding"), "at"), n, own=True, at="at")
     return retrieval.hybrid(facts, questions, n, seeds=seeds, words=words, near=near)

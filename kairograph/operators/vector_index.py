@@ -29,6 +29,8 @@ FILE_ROWS = 1_000_000
 WIDTH = 0.05
 #: Query vectors that are searched at once.
 QUERY_BLOCK = 1024
+#: Numbers of a matrix of distances or scores that are held at once.
+CELLS = 1 << 20
 _SLACK = 1e-5  # scores are rounded to six places
 
 
@@ -50,19 +52,24 @@ def build(vectors: DataFrame, path: str, *, lower: str | None = None, upper: str
     """
     spark = vectors.sparkSession
     bound = lambda c, name: (F.col(c) if c else F.lit(None)).cast("double").alias(name)
-    rows = vectors.where(retrieval.comparable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), bound(lower, "low"), bound(upper, "high"), F.size("embedding").alias("dim"))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.where(retrieval.comparable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), bound(lower, "low"), bound(upper, "high"), F.size("embedding").alias("dim"))
+    rows = storage.staged(rows, "vector_rows")  # embeddings are made once, and read three times more
+    counts = sorted(rows.groupBy("dim").count().collect())  # few lengths
     written = None
-    for dim, count in sorted(rows.groupBy("dim").count().collect()):  # few lengths
+    for dim, count in counts:
         own = rows.where(F.col("dim") == dim)
         pivots = min(int(count**0.5) + 1, max(1, PIVOT_BYTES // (8 * dim)))
-        chosen = own.select(F.xxhash64("embedding").alias("h"), "embedding").dropDuplicates(["h"]).orderBy("h").limit(pivots).collect()  # PIVOT_BYTES
+        hashed = own.select(F.xxhash64("embedding").alias("h"), "embedding")
+        last = hashed.select("h").distinct().orderBy("h").limit(pivots).agg(F.max("h")).first()[0]  # only hashes move
+        chosen = hashed.where(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").limit(pivots).collect()  # PIVOT_BYTES
         shared = spark.sparkContext.broadcast(_unit([r["embedding"] for r in chosen]))
         spark.createDataFrame([(dim, i, r["embedding"]) for i, r in enumerate(chosen)], "dim int, cell int, pivot array<double>").coalesce(1).write.parquet(f"{path}/pivots/dim={dim}")
-        dealt = own.mapInPandas(_deal(shared), "vec_id long, embedding array<double>, low double, high double, dim int, cell int, ring int, distance double")
+        dealt = own.mapInPandas(_deal(shared), f"vec_id long, embedding {kind}, low double, high double, dim int, cell int, ring int, distance double")
         written = dealt if written is None else written.unionByName(dealt)
     if written is None:
         return
-    pieces = -(-rows.count() // FILE_ROWS)
+    pieces = -(-sum(count for _, count in counts) // FILE_ROWS)
     written.repartition("dim", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, pieces)))).sortWithinPartitions("dim", "cell", "ring").write.partitionBy("dim", "cell").parquet(f"{path}/vectors")
     read = spark.read.parquet(f"{path}/vectors")
     rings = read.groupBy("dim", "cell", "ring").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.count(F.lit(1)).alias("n"))
@@ -71,9 +78,12 @@ def build(vectors: DataFrame, path: str, *, lower: str | None = None, upper: str
 
 def _deal(shared):
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                d = _distances(_unit(batch["embedding"]), shared.value)
+        pivots = shared.value
+        step = max(1, CELLS // max(pivots.shape))
+        for whole in batches:
+            for start in range(0, len(whole), step):
+                batch = whole.iloc[start : start + step]
+                d = _distances(_unit(batch["embedding"]), pivots)
                 cell = d.argmin(axis=1)
                 distance = d[np.arange(len(batch)), cell]
                 yield batch.assign(cell=cell.astype(np.int32), ring=(distance / WIDTH).astype(np.int32), distance=distance)
@@ -111,45 +121,74 @@ def search(spark: SparkSession, path: str, queries: DataFrame, n: int = 10, *, o
 
 def _block(spark: SparkSession, vectors: DataFrame, rings: pd.DataFrame, pivots: np.ndarray, items: list, n: int, own: bool, counts: list | None) -> DataFrame:
     q = _unit([r["embedding"] for r in items])
-    away = _distances(q, pivots)[:, rings["cell"].to_numpy()]
-    least = np.maximum(0, np.maximum(away - rings["far"].to_numpy(), rings["near"].to_numpy() - away))
-    order = np.argsort(least, axis=1, kind="stable")
-    size = rings["n"].to_numpy()[order]
-    first = np.zeros(least.shape, dtype=bool)
-    np.put_along_axis(first, order, np.cumsum(size, axis=1) - size < 2 * n + 1, axis=1)
+    away = _distances(q, pivots).astype(np.float32)  # its error is far below _SLACK
+    cell, close, far, size = (rings[c].to_numpy() for c in ("cell", "near", "far", "n"))
     ids, at = np.array([r["vec_id"] for r in items]), np.array([np.nan if r["at"] is None else r["at"] for r in items])
-    run = lambda wanted: _scored(spark, vectors, rings, wanted, q, ids, at, n, own, counts)
-    near = storage.staged(run(first), "vector_hits")  # n rows a query and task
+    step = max(1, CELLS // len(rings))
+    parts = [slice(i, i + step) for i in range(0, len(items), step)]
+    least = lambda part: _least(away[part][:, cell], close, far)
+    pairs = []  # of a ring and a query: few rings hold enough vectors
+    for part in parts:
+        order = np.argsort(least(part), axis=1, kind="stable")
+        i, k = np.nonzero(np.cumsum(size[order], axis=1) - size[order] < 2 * n + 1)
+        pairs.append(np.stack([order[i, k], i + part.start], axis=1))
+    first = np.concatenate(pairs)
+    first = first[np.lexsort((first[:, 1], first[:, 0]))]
+    run = lambda used, reach: _scored(spark, vectors, rings, used, first, reach, away, q, ids, at, n, own, counts)
+    near = storage.staged(run(np.unique(first[:, 0]), None), "vector_hits")  # n rows a query and task
     score = {r["query_id"]: r["s"] for r in retrieval.top(near, "query_id", "vec_id", n).groupBy("query_id").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("k")).where(F.col("k") == n).collect()}
-    reach = np.array([np.sqrt(max(0, 2 - 2 * (score.get(i, -2) - _SLACK))) for i in ids.tolist()])  # fewer than n: everything
-    rest = ~first & (least <= reach[:, None] + _SLACK)
-    return near.unionByName(run(rest)) if rest.any() else near
+    reach = np.array([np.sqrt(max(0, 2 - 2 * (score.get(i, -2) - _SLACK))) for i in ids.tolist()]) + _SLACK  # fewer than n: everything
+    used = np.zeros(len(rings), dtype=bool)
+    for part in parts:
+        rest = least(part) <= reach[part][:, None]
+        own_ = first[(first[:, 1] >= part.start) & (first[:, 1] < part.stop)]
+        rest[own_[:, 1] - part.start, own_[:, 0]] = False
+        used |= rest.any(axis=0)
+    return near.unionByName(run(np.flatnonzero(used), reach)) if used.any() else near
+
+
+def _least(away: np.ndarray, near, far) -> np.ndarray:
+    """The least distance of a ring's vectors to a query, by the query's distance from the pivot."""
+    return np.maximum(0, np.maximum(away - far, near - away))
 
 
-def _scored(spark: SparkSession, vectors: DataFrame, rings: pd.DataFrame, wanted: np.ndarray, q: np.ndarray, ids: np.ndarray, at: np.ndarray, n: int, own: bool, counts: list | None) -> DataFrame:
-    """The n best of each query among the vectors of the rings that it wants; cells that none wants aren't read."""
-    used = np.flatnonzero(wanted.any(axis=0))
+def _scored(spark: SparkSession, vectors: DataFrame, rings: pd.DataFrame, used: np.ndarray, first: np.ndarray, reach: np.ndarray | None, away: np.ndarray, q: np.ndarray, ids: np.ndarray, at: np.ndarray, n: int, own: bool, counts: list | None) -> DataFrame:
+    """The n best of each query among the vectors of the rings that it wants; cells that none wants aren't read.
+
+    A query wants its ``first`` rings (pairs of ring and query), or with ``reach`` those others that may hold a vector within it. Tasks
+    find a ring's queries from their distances to its pivot, so that what is broadcast grows with rings and with queries, not with their product.
+    """
     cells = sorted(set(rings["cell"].to_numpy()[used].tolist()))
-    of = {(int(rings["cell"].iloc[i]), int(rings["ring"].iloc[i])): np.flatnonzero(wanted[:, i]) for i in used.tolist()}
-    shared = spark.sparkContext.broadcast((of, q, ids, at))
+    kept = rings.iloc[used]
+    opens = np.searchsorted(first[:, 0], used), np.searchsorted(first[:, 0], used, side="right")
+    shared = spark.sparkContext.broadcast((kept["cell"].to_numpy().astype(np.int64) << 32 | kept["ring"].to_numpy(), kept["near"].to_numpy(), kept["far"].to_numpy(), *opens, first[:, 1].astype(np.int32), reach, away, q, ids, at))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, q, ids, at = shared.value
+        keys, near, far, opens, ends, first, reach, away, q, ids, at = shared.value
+        step = max(1, CELLS // max(1, *q.shape))
         for whole in batches:
-            for (cell, ring), batch in whole.groupby(["cell", "ring"]):
-                asks = of.get((cell, ring))
+            for (cell, ring), group in whole.groupby(["cell", "ring"]):
                 if counts is not None:
-                    counts[1].add(len(batch))
-                if asks is None:
+                    counts[1].add(len(group))
+                key = int(cell) << 32 | int(ring)
+                i = np.searchsorted(keys, key)
+                if i == len(keys) or keys[i] != key:
+                    continue
+                asks = first[opens[i] : ends[i]]
+                if reach is not None:
+                    asks = np.setdiff1d(np.flatnonzero(_least(away[:, cell], near[i], far[i]) <= reach), asks)
+                if not len(asks):
                     continue
                 if counts is not None:
-                    counts[0].add(len(batch) * len(asks))
-                vec = batch["vec_id"].to_numpy()
-                s = np.round(_unit(batch["embedding"]) @ q[asks].T, 6)
-                if not own:
-                    s[vec[:, None] == ids[asks][None, :]] = -np.inf
-                s[retrieval.outside(batch, at[asks])] = -np.inf
-                yield retrieval.best(s, ids[asks], vec, n, "query_id", "vec_id")
+                    counts[0].add(len(group) * len(asks))
+                for start in range(0, len(group), step):
+                    batch = group.iloc[start : start + step]
+                    vec = batch["vec_id"].to_numpy()
+                    s = np.round(_unit(batch["embedding"]) @ q[asks].T, 6)
+                    if not own:
+                        s[vec[:, None] == ids[asks][None, :]] = -np.inf
+                    s[retrieval.outside(batch, at[asks])] = -np.inf
+                    yield retrieval.best(s, ids[asks], vec, n, "query_id", "vec_id")
 
     rows = vectors.where(F.col("cell").isin(cells)).select("cell", "ring", "vec_id", "embedding", "low", "high")
     return rows.mapInPandas(score, "query_id long, vec_id long, score double")

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from kairograph import storage
-from kairograph.operators import keyword_index, retrieval
+from kairograph.operators import keyword_index, retrieval, vector_index
 
 
 def test_blocks_without_bounds_hold_none_and_answer_like_a_scan(spark):
@@ -17,3 +17,15 @@ def test_blocks_without_bounds_hold_none_and_answer_like_a_scan(spark):
     assert blocks.where("n <> size(doc_id) or n <> size(len)").count() == 0
     rows = lambda f: sorted(tuple(r) for r in f.select("item_id", "doc_id", "score", "rank").collect())
     assert rows(keyword_index.search(spark, path, asked, 5)) == rows(retrieval.bm25(docs, asked, 5))
+
+
+def test_distances_to_many_pivots_are_held_in_slices(monkeypatch):
+    held, plain = [], vector_index._distances
+    monkeypatch.setattr(vector_index, "CELLS", 5000, raising=False)
+    monkeypatch.setattr(vector_index, "_distances", lambda x, y: held.append(len(x) * len(y)) or plain(x, y))
+    draw = np.random.default_rng(1)
+    pivots = vector_index._unit(draw.normal(size=(900, 4)))
+    batch = pd.DataFrame({"vec_id": range(300), "embedding": list(draw.normal(size=(300, 4)))})
+    got = pd.concat(vector_index._deal(SimpleNamespace(value=pivots))(iter([batch])))
+    assert got["vec_id"].tolist() == list(range(300)) and max(held) <= 5000
+    assert np.array_equal(got["cell"], plain(vector_index._unit(batch["embedding"]), pivots).argmin(axis=1))
