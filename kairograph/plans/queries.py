@@ -189,6 +189,11 @@ def _bm25(spark, sf_dir):
     return keyword_index.search(spark, path, _t(spark, sf_dir, "benchmark"))
 
 
+def _hits(spark, sf_dir):
+    """The hits as a table of known size (20 rows a question), for joins with whole tables."""
+    return storage.staged(_bm25(spark, sf_dir), "hits")
+
+
 @query(f"WITH {_BM25} SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM bm")
 def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir)
@@ -254,7 +259,7 @@ _FRESH = "fr AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTI
 
 
 def _legs(spark, sf_dir):
-    words = _bm25(spark, sf_dir)
+    words = _hits(spark, sf_dir)
     short = words.select("item_id", "doc_id").join(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     return [words, short.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("n_chars", "doc_id")))]
 
@@ -269,7 +274,7 @@ def rrf_fusion(spark, sf_dir):
 
 def _reranked(spark, sf_dir):
     docs, asked = _t(spark, sf_dir, "documents").select("doc_id", "text"), _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    return retrieval.rerank(_bm25(spark, sf_dir).join(docs, "doc_id").join(asked, "item_id"))
+    return retrieval.rerank(_hits(spark, sf_dir).join(docs, "doc_id").join(asked, "item_id"))
 
 
 @query(f"""WITH {_BM25}, qa AS (SELECT item_id, list_distinct(list(term)) AS q FROM asked GROUP BY 1),
@@ -281,7 +286,7 @@ def rerank_topn(spark, sf_dir):
 
 @query(f"""WITH {_BM25} SELECT item_id, l.quality, count(*) AS n FROM bm JOIN labels l USING (doc_id) GROUP BY 1, 2""")
 def ranked_by_label(spark, sf_dir):
-    return _bm25(spark, sf_dir).join(_t(spark, sf_dir, "labels"), "doc_id").groupBy("item_id", "quality").agg(F.count(F.lit(1)).alias("n"))
+    return _hits(spark, sf_dir).join(_t(spark, sf_dir, "labels"), "doc_id").groupBy("item_id", "quality").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- context --------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kairograph import schemas
+from kairograph import schemas, storage
 from kairograph.functions import text as T
 from kairograph.operators import code, context, graph, ledger, modules, render, retrieval, writer
 from kairograph.plans.queries import _BM25, _documents, _indexed, _reranked, _t, query
@@ -266,7 +266,8 @@ x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY
 SELECT item_id, max(rerank_score) AS best, count(*) AS candidates, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM x JOIN documents USING (doc_id) GROUP BY 1""")
 def rerank_scores(spark, sf_dir):
     """Reranked candidates carry what they came with; the best score of each question."""
-    ranked = _reranked(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    best = storage.staged(_reranked(spark, sf_dir).select("item_id", "doc_id", "rerank_score"), "reranked")  # 8 rows a question, used twice
+    ranked = best.join(_t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     sources = ranked.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
     return retrieval.best_scores(ranked).join(sources, "item_id")
 

@@ -48,3 +48,14 @@ def test_no_function_of_the_queries_hides_another():
         with open(module.__file__) as file:
             names = [x.name for x in ast.parse(file.read()).body if isinstance(x, ast.FunctionDef)]
         assert sorted(names) == sorted(set(names))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["rerank_scores", "ranked_by_label"])
+def test_joins_with_hits_know_their_size_and_search_once(spark, name):
+    from kairograph import registry
+
+    found = registry.queries()[name](spark, SF)
+    assert "InArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = rows(found.collect())
+    assert got and got == by_sql(name)
